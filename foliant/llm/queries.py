@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, secrets, simhash
+from . import bpe, mixing, neighbours, pages, pii, quality, secrets, simhash
 from .storage import read_table
 
 
@@ -43,6 +43,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pages.extract(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(read_table(spark, sf_dir, "documents"))
     return book.select(
@@ -60,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op6_html": op6_html,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
 }
 
