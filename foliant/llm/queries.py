@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neighbours, pages, pii, quality, secrets, simhash
+from . import bpe, mixing, neighbours, pages, paragraphs, pii, quality, secrets, simhash, suffixes
 from .storage import read_table
 
 
@@ -43,6 +43,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.similar_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pages.extract(read_table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -69,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_suffixes": op5_suffixes,
     "op6_html": op6_html,
     "op7_quality": op7_quality,
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
+    "op10_paragraphs": op10_paragraphs,
 }
 
 SQL: dict[str, str] = {

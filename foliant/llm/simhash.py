@@ -217,11 +217,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents that carry the smallest id of their group, with all their columns.
+    """One document of each group, that of its smallest id, with all its columns.
 
-    Rows that repeat one id keep the one with the smallest text hash; a group without any id keeps nothing
-    it could be named by, so rows with null ids are kept as they are.
+    Rows that repeat that id are one document: one of them stays. Rows without an id cannot be named and
+    are all kept.
     """
-    chosen = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(saved(chosen, "simhash-kept"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    chosen = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).count()
+    chosen = saved(chosen, "simhash-kept")
+    kept = docs.join(chosen.select("__kept_id"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    if not chosen.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null"))
