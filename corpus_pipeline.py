@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, mixing, quality, simhash
+from foliant.llm import bpe, mixing, pii, quality, simhash
 from foliant.llm.queries import tokenizer
 from foliant.llm.storage import read_table, saved
 
@@ -17,6 +17,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -25,7 +29,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, *tokenizer())
 
 
-STAGES = [("quality", quality_rules), ("simhash", simhash_dedup), ("mixing", mix_sources), ("bpe", byte_bpe)]
+STAGES = [("quality", quality_rules), ("simhash", simhash_dedup), ("pii", private_data), ("mixing", mix_sources), ("bpe", byte_bpe)]
 
 #: The stages use compiled hashes, component search and BPE, which SQL cannot express.
 ORACLE_SQL = None
