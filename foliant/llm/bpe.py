@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LEAF = 1 << 15
-CACHED = 400_000
+CACHED = 150_000
+ROWS = 256  # texts that are held as Python objects at once
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,9 +180,8 @@ def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, of: st
     """df with one more column, made from column `of` value by value in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(of))
-            made = make(values)
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
+            made = make(batch.column(batch.schema.get_field_index(of)))
             keep = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name != name]
             yield pa.RecordBatch.from_arrays(
                 [*(c for _, c in keep), pa.array(made, arrow)], schema=pa.schema([*(f for f, _ in keep), pa.field(name, arrow)])
@@ -197,7 +198,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     pass through; an existing column named like the new one is replaced. Empty table: no rows.
     """
     return _with(df, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text,
-                 lambda values: (lambda c: [c.encode(v.as_py() or "") for v in values])(codec(path, pattern)))
+                 lambda values: (lambda c: [array("i", c.encode(v.as_py() or "")) for v in values])(codec(path, pattern)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
