@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.text import HEADINGS, SPACE, classify_heading, heading_number, heading_title, preview, stable_id
 from ..functions.tokens import token_count
 
-BY_START = Window.partitionBy("book_id").orderBy("start")
 PASSES = 100
 
 
+def by_start():
+    return Window.partitionBy("book_id").orderBy("start")
+
+
 def explode_lines(books: DataFrame) -> DataFrame:
     """book_id, line_no, line, start, end, next_start; the empty line after a last newline is dropped."""
     lines = books.select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), F.length("text").alias("__n"))
@@ -38,7 +41,7 @@ def find_headings(lines: DataFrame, patterns=HEADINGS) -> DataFrame:
 
 def outlier_pass(headings: DataFrame) -> DataFrame:
     """headings with outlier: a chapter between two consecutive chapters of its volume that is neither of them."""
-    segment = F.sum(F.when(F.col("kind") == "volume", 1).otherwise(0)).over(BY_START)
+    segment = F.sum(F.when(F.col("kind") == "volume", 1).otherwise(0)).over(by_start())
     marked = headings.withColumn("__segment", segment).withColumn("__chapter", F.col("kind") == "chapter")
     chapters = Window.partitionBy("book_id", "__segment", "__chapter").orderBy("start")
     before, after = F.lag("number").over(chapters), F.lead("number").over(chapters)
@@ -64,7 +67,7 @@ def _has_checkpoint(df: DataFrame) -> bool:
 def assign_volumes(headings: DataFrame) -> DataFrame:
     """headings with volume_start and volume_title of the volume they stand in, null before the first."""
     start = F.when(F.col("kind") == "volume", F.struct("start", "title"))
-    current = F.last(start, ignorenulls=True).over(BY_START.rowsBetween(Window.unboundedPreceding, 0))
+    current = F.last(start, ignorenulls=True).over(by_start().rowsBetween(Window.unboundedPreceding, 0))
     marked = headings.withColumn("__v", current)
     return marked.withColumns({"volume_start": F.col("__v.start"), "volume_title": F.col("__v.title")}).drop("__v")
 
@@ -72,7 +75,7 @@ def assign_volumes(headings: DataFrame) -> DataFrame:
 def chapter_ranges(headings: DataFrame, books: DataFrame) -> DataFrame:
     """headings with content_end: the start of the next heading, or the length of the text."""
     lengths = books.select("book_id", F.length("text").cast("bigint").alias("__n"))
-    ranged = headings.withColumn("content_end", F.lead("start").over(BY_START)).join(lengths, "book_id")
+    ranged = headings.withColumn("content_end", F.lead("start").over(by_start())).join(lengths, "book_id")
     return ranged.withColumn("content_end", F.coalesce("content_end", "__n")).drop("__n")
 
 
@@ -146,8 +149,8 @@ def chapters(books: DataFrame, headings: DataFrame | None = None, counter: str =
 def volumes(headings: DataFrame, chapter_rows: DataFrame, books: DataFrame) -> DataFrame:
     """book_id, volume_id, ordinal, title, start, end (the next volume or the text's end), ordered chapter_ids."""
     own = headings.filter("kind = 'volume'")
-    ends = F.lead("start").over(BY_START)
-    own = own.withColumns({"ordinal": F.row_number().over(BY_START), "end": ends}).join(books.select("book_id", F.length("text").cast("bigint").alias("__n")), "book_id")
+    ends = F.lead("start").over(by_start())
+    own = own.withColumns({"ordinal": F.row_number().over(by_start()), "end": ends}).join(books.select("book_id", F.length("text").cast("bigint").alias("__n")), "book_id")
     ids = chapter_rows.filter("volume_start is not null").groupBy("book_id", F.col("volume_start").alias("start")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chapter_id"))), lambda x: x["chapter_id"]).alias("chapter_ids")
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import book_plans, text_plans  # noqa: F401
+from .base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return SQL
