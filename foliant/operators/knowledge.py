@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import settled
+
 ROUNDS = 64
 # The default tasks of a book.
 ROLES = (("characters", "人物"), ("relationships", "关系"), ("worldbuilding", "设定"))
 MOCK_STEPS = {True: (3, 2), False: (2, 1)}  # steps and calls of the scripted review, with and without evidence
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def task_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """book_id, task_id, level: 0 without dependencies, else one more than the deepest; tasks of cycles are absent."""
     left = tasks.select("book_id", "task_id")
@@ -22,10 +20,10 @@ def task_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     done = None
     for level in range(ROUNDS):
         open_edges = edges if done is None else edges.join(done.select("book_id", F.col("task_id").alias("depends_on")), ["book_id", "depends_on"], "left_anti")
-        ready = _kept(left.join(open_edges.select("book_id", "task_id"), ["book_id", "task_id"], "left_anti").withColumn("level", F.lit(level)))
+        ready = settled(left.join(open_edges.select("book_id", "task_id"), ["book_id", "task_id"], "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             return done if done is not None else ready
-        done = ready if done is None else _kept(done.unionByName(ready))
+        done = ready if done is None else settled(done.unionByName(ready))
         left = left.join(ready, ["book_id", "task_id"], "left_anti")
     raise RuntimeError(f"more than {ROUNDS} dependency levels")
 
@@ -44,14 +42,14 @@ def validate_dag(tasks: DataFrame, deps: DataFrame, most: int = 8) -> DataFrame:
 
 def repair_closure(failed: DataFrame, deps: DataFrame) -> DataFrame:
     """Failed tasks and all that depend on them: book_id, task_id."""
-    found = _kept(failed.select("book_id", "task_id").distinct())
+    found = settled(failed.select("book_id", "task_id").distinct())
     front = found
     for _ in range(ROUNDS):
         step = front.withColumnRenamed("task_id", "depends_on").join(deps, ["book_id", "depends_on"]).select("book_id", "task_id").distinct()
-        front = _kept(step.join(found, ["book_id", "task_id"], "left_anti"))
+        front = settled(step.join(found, ["book_id", "task_id"], "left_anti"))
         if front.isEmpty():
             return found
-        found = _kept(found.union(front))
+        found = settled(found.union(front))
     raise RuntimeError(f"repair reaches more than {ROUNDS} steps")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HEADINGS, SPACE, classify_heading, heading_number, heading_title, preview, stable_id
 from ..functions.tokens import token_count
+from ..stages import settled
 
 PASSES = 100
 
@@ -53,17 +54,13 @@ def remove_sequence_outliers(headings: DataFrame) -> DataFrame:
     """Drop outliers until none is left; all triples of a pass are judged together."""
     now = headings
     for _ in range(PASSES):
-        marked = outlier_pass(now).checkpoint() if _has_checkpoint(headings) else outlier_pass(now).persist()
+        marked = settled(outlier_pass(now))
         now = marked.filter("not outlier").drop("outlier")
         if marked.filter("outlier").isEmpty():
             return now
     raise RuntimeError(f"outliers did not settle in {PASSES} passes")
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def assign_volumes(headings: DataFrame) -> DataFrame:
     """headings with volume_start and volume_title of the volume they stand in, null before the first."""
     start = F.when(F.col("kind") == "volume", F.struct("start", "title"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental as inc
 from ..operators import knowledge as kn
+from ..stages import settled
 from ..streaming import progress as pr
 from .base import query, table
 from .search_plans import TRACE, trace
@@ -161,7 +162,7 @@ def i10_policy(spark, d):
     def search(rows):
         return rows.select("item_id", F.lit("found").alias("observation"), F.lit(False).alias("valid"))
 
-    return kn.review_items(items, ask, verify, search, lambda df, _: kn._kept(df))
+    return kn.review_items(items, ask, verify, search, lambda df, _: settled(df))
 
 
 @query("i11_review_budget", f"with {ITEMS} select book_id, item_id, 'uncertain' as verdict, 0 as steps from items qualify row_number() over (partition by book_id order by seq) > 12")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import token_count
 from ..operators import hierarchy as hi
 from ..operators import requests as rq
-from ..operators.retrieval import passages  # noqa: F401
+from ..stages import settled
 from .base import query, table, tokens
 
 UNITS = """
@@ -233,16 +233,12 @@ def g9(spark, d):
     return hi.confidence_floor(_items(spark, d), inputs).select("item_id", "confidence", "description")
 
 
-def _write(df, name):
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def _tree(spark, d):
     def merge(groups):
         text = F.array_join(F.transform("inputs", lambda x: F.substring(x["payload"], 1, 200)), " ")
         return groups.select("book_id", "group", F.concat(F.lit("merged "), text).alias("payload")).withColumn("payload", F.substring("payload", 1, 300)).withColumn("tokens", token_count(F.col("payload")))
 
-    return hi.merge_tree(_materials(spark, d), 700, 40, merge, _write)
+    return hi.merge_tree(_materials(spark, d), 700, 40, merge, lambda df, _: settled(df))
 
 
 @query("g6_merge_tree")

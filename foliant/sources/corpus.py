@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +22,20 @@ def read_txt_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES)
     All files below path are listed, so that rejects are on record; contents are read of accepted ones only.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.url_decode(F.try_element_at(F.split("path", "/"), F.lit(-1)))
+    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     media = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     reason = (
         F.when(media != "txt", "wrong_suffix").when(F.length(name) > 255, "name_too_long")
-        .when(name.rlike(r"[\x00-\x1F]"), "bad_name").when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large")
+        .when(name.rlike(r"[\x00-\x1F]"), "bad_name").when(F.col("length") > max_bytes, "too_large")
     )
     rows = files.withColumns({"filename": name, "reason": reason})
+    # the reader skips files without any byte: they are those of the listing that no row has
+    listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/"),) for f in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").withColumn("filename", name)
     book = F.md5(F.col("path").cast("binary"))
     accepted = rows.filter("reason is null").select(book.alias("book_id"), "path", "filename", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    return accepted, rows.filter("reason is not null").select("path", "filename", F.col("length").alias("size_bytes"), "reason")
+    rejected = rows.filter("reason is not null").select("path", "filename", F.col("length").alias("size_bytes"), "reason")
+    return accepted, rejected.union(empty.select("path", "filename", F.lit(0).cast("long"), F.lit("empty")))
 
 
 def _legacy(data: bytes) -> tuple[str | None, str | None]:

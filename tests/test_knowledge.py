@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from foliant.operators import evaluation as ev
 from foliant.operators import knowledge as kn
 from foliant.operators import retrieval as rt
+from foliant.stages import settled
 
 CHUNK = "book_id string, chapter_id string, chunk_id string, ordinal int, content string, is_edited boolean"
 
@@ -85,7 +86,7 @@ def test_endless_policy_stops(spark):
     items = spark.createDataFrame([("i",)], "item_id string")
     ask = lambda rows: rows.select("item_id", F.lit("search").alias("action"), F.lit("x").alias("argument"), F.lit(None).cast("string").alias("verdict"))
     tool = lambda rows: rows.select("item_id", F.lit("seen").alias("observation"), F.lit(False).alias("valid"))
-    got = kn.review_items(items, ask, tool, tool, lambda df, _: df.persist(), max_steps=4, call_budget=2).first()
+    got = kn.review_items(items, ask, tool, tool, lambda df, _: settled(df), max_steps=4, call_budget=2).first()
     assert tuple(got) == ("i", "uncertain", 3, 2)
 
 

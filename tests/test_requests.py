@@ -8,6 +8,7 @@ from foliant.functions import text as t
 from foliant.operators import hierarchy as hi
 from foliant.operators import incremental as inc
 from foliant.operators import requests as rq
+from foliant.stages import settled
 
 
 class Scripted:
@@ -58,7 +59,7 @@ def _tree(spark, n, tokens, limit):
         calls.append(groups.count())
         return groups.select("book_id", "group", F.lit("m").alias("payload"), F.lit(tokens).cast("long").alias("tokens"))
 
-    return (*hi.merge_tree(rows, limit, 10, merge, lambda df, _: df.persist()), calls)
+    return (*hi.merge_tree(rows, limit, 10, merge, lambda df, _: settled(df)), calls)
 
 
 def test_merge_tree_covers_all_leaves(spark):
