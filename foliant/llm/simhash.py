@@ -224,7 +224,8 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """
     chosen = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).count()
     chosen = saved(chosen, "simhash-kept")
-    kept = docs.join(chosen.select("__kept_id"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    # the same plan at every size: texts move once, beside the chosen ids
+    kept = docs.join(chosen.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
     if not chosen.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null"))
