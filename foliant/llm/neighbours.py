@@ -190,10 +190,11 @@ def _search(k: int):
         for part in range(0, len(q), 256):
             block = q[part : part + 256]
             rough = norms[None, :] + (block**2).sum(axis=1)[:, None] - 2 * block @ x.T
-            nth = min(k, len(x) - 1)
+            rough[asked[part : part + 256, None] == ids[None, :]] = np.inf  # however often its own id is there
+            nth = min(k, len(x)) - 1
             limit = np.partition(rough, nth, axis=1)[:, nth]
             for i, (own, vector) in enumerate(zip(asked[part : part + 256], block)):
-                near = np.flatnonzero(rough[i] <= limit[i] + 1e-9 * (1 + abs(limit[i]) + norms.max()))
+                near = np.flatnonzero(rough[i] <= limit[i] + 1e-9 * (1 + norms.max()))
                 near = near[ids[near] != own]
                 exact = np.sqrt(((x[near] - vector) ** 2).sum(axis=1))
                 best = np.lexsort((ids[near], exact))[:k]
