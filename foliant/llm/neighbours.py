@@ -31,8 +31,8 @@ BLOCK = 4096  # vectors, or queries, that one task compares at once
 def _nearest(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k nearest rows of x to each row of queries, which are rows of x themselves."""
     norms, out = (x**2).sum(axis=1), []
-    for part in range(0, len(queries), 512):
-        at = queries[part : part + 512]
+    for part in range(0, len(queries), 64):
+        at = queries[part : part + 64]
         far = norms[None, :] - 2 * x[at] @ x.T
         far[np.arange(len(at)), at] = np.inf
         out.append(np.argpartition(far, min(k, len(x) - 1) - 1, axis=1)[:, :k])
