@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2")]

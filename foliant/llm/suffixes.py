@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .copies import groups, keyed, merged, report, representatives
+from .copies import groups, keyed, merged, report, representatives, slices
 from .storage import saved
 
 GRAM, WINDOW, RIGHT = 16, 12, 40
@@ -52,7 +52,7 @@ def retained(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 256):
         rows = []
         for text in batch.column(3):
             words = text.as_py().encode().split()
@@ -64,7 +64,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 64):
         ids, at, left, right = [], [], [], []
         for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             words = text.as_py().split(None) if text.as_py().isascii() else [w.decode() for w in text.as_py().encode().split()]
@@ -119,7 +119,7 @@ def _compare(edges: bool):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "end", "other", "at", "left", "right"])
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             for values in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 row = _Row(*values)
                 if edges and first is not None:
@@ -134,7 +134,7 @@ def _compare(edges: bool):
                         match(before, row)
                     # of equal rows of one document, the next document need only meet one
                     alike = [*([a for a in alike if a.right[:RIGHT] == row.right[:RIGHT]]), row]
-                if len(out) >= 20_000:
+                if len(out) >= 4000:
                     yield batch_of()
         if edges:
             for row in ([before] if before else []) + alike:
