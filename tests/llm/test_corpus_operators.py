@@ -154,6 +154,18 @@ def test_near_paragraphs(spark):
     assert {r.doc_id for r in paragraphs.similar_paragraphs(docs(spark, rows)).collect()} == {1, 2, 3}
 
 
+def test_every_lead_of_a_paragraph_is_compared():
+    rng = random.Random(12)
+    word = lambda: f"W{rng.randrange(10**6)}"
+    for lead in range(36):
+        for edit in {*range(51)} - {*range(lead, lead + 16)}:
+            passage = [word() for _ in range(51)]
+            changed = [*passage[:edit], "other", *passage[edit + 1 :]]
+            a, b = ([word() for _ in range(35 - lead)] + p + [word() for _ in range(lead)] for p in (passage, changed))
+            lo, hi = paragraphs.alike(a, 35, b, 35)
+            assert lo <= -lead and hi >= 51 - lead
+
+
 def test_common_line_makes_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FULL", 4)
     rng = random.Random(10)
