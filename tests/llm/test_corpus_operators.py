@@ -166,6 +166,16 @@ def test_every_lead_of_a_paragraph_is_compared():
             assert lo <= -lead and hi >= 51 - lead
 
 
+def test_paragraphs_of_three_that_share_units(spark):
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 1500, 3):  # the third shares 45 words only, so it is like neither of the others
+        passage = text(51)
+        rows += [(i + j, " ".join(text(60) + p + text(60))) for j, p in enumerate((passage, passage, passage[3:48]))]
+    assert {r.doc_id for r in paragraphs.similar_paragraphs(docs(spark, rows)).collect()} == {i for i in range(1500) if i % 3 < 2}
+
+
 def test_common_line_makes_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FULL", 4)
     rng = random.Random(10)
