@@ -176,6 +176,44 @@ def test_paragraphs_of_three_that_share_units(spark):
     assert {r.doc_id for r in paragraphs.similar_paragraphs(docs(spark, rows)).collect()} == {i for i in range(1500) if i % 3 < 2}
 
 
+def edited_passages(rng, n):
+    """Texts that share nothing but one passage of 51 to 58 words by pairs, changed once; and how it was changed."""
+    word = lambda: f"{'Ww'[rng.randrange(8) > 0]}{rng.randrange(10**6)}"
+    common = [word() for _ in range(30)]  # a line in every fourth text
+    out = []
+    for i in range(n):
+        passage = [word() for _ in range(rng.randrange(51, 59))]
+        at, other = rng.randrange(len(passage)), list(passage)
+        if i % 4 == 0:
+            other[at] = word()
+        elif i % 4 == 1:
+            other.insert(at, word())
+        elif i % 4 == 2:
+            del other[at]
+        else:
+            for at in (0, -3) if i % 8 == 3 else (20, 35):  # two changes inside are too many
+                other[at] = word()
+        for p in (passage, other):
+            out.append((common if i % 4 == 3 else []) + [word() for _ in range(rng.randrange(20, 60))] + p + [word() for _ in range(rng.randrange(20, 60))])
+    return out
+
+
+def best_jaccard(a, b):
+    grams = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a, b)]
+    x, y = ([set(g[i : i + 47]) for i in range(len(g) - 46)] for g in grams)
+    return max(len(p & q) / len(p | q) for p in x for q in y)
+
+
+@pytest.mark.parametrize("full", [3, 512])
+def test_every_edited_passage_is_found(spark, monkeypatch, full):
+    monkeypatch.setattr(paragraphs, "FULL", full)
+    texts = edited_passages(random.Random(14), 120)
+    want = {d for i in range(0, 240, 2) if best_jaccard(texts[i], texts[i + 1]) >= 0.8 for d in (i, i + 1)}
+    got = {r.doc_id for r in paragraphs.similar_paragraphs(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    print("RECALL", len(got & want), len(want))
+    assert got == want and 100 < len(want) < 240
+
+
 def test_common_line_makes_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FULL", 4)
     rng = random.Random(10)
