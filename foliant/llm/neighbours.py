@@ -212,7 +212,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     smaller vec_id. Fewer than k candidates: all. Rows that repeat an id and vector count once. Empty
     table: no rows. Other columns are ignored.
     """
-    good = usable(rows)
+    good = saved(usable(rows).dropDuplicates(["id", "v"]), "ann-rows")
     # the sample: the rows of smallest hash, as many as SAMPLE, whatever the size of the table
     sample = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     total = good.count()

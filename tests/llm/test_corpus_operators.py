@@ -251,6 +251,15 @@ def test_neighbours_of_small_tables_are_exact(spark):
     assert neighbours.search(spark.createDataFrame([], VECTORS)).isEmpty()
 
 
+def test_a_repeated_neighbour_counts_once(spark):
+    x = np.random.default_rng(6).normal(size=(60, 8)).astype("f4")
+    want = exact(x.astype("f8"), np.arange(60))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += 25 * [rows[want[0][0][0]]]
+    got = neighbours.search(spark.createDataFrame(rows, VECTORS)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for i, _ in want[0]]
+
+
 def test_learned_partitions_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 500)
     rng = np.random.default_rng(5)
