@@ -2,7 +2,8 @@
 
 Paragraphs give points for their length and commas to their ancestors, fewer the farther away; a
 container's points are discounted by the share of its text that stands in links. The best container is
-kept, as an article around it, with those of its siblings that look like text too; furniture is dropped.
+kept, as an article around it, or else with all that stands beside it, up to the ancestor of nearly all the
+text, but for furniture and blocks of links.
 """
 
 from __future__ import annotations
@@ -205,17 +206,23 @@ def main_text(html: str) -> str:
         best = up
     if best.parent is None or best.tag in ("body", "article", "main"):
         return _text([best])
-    kept = []
-    for x in best.parent.children:
-        if isinstance(x, str):
-            continue
-        sparse = x.size and x.links / x.size < 0.25
-        title = x.tag == "h1"
-        if x is best or title or (sparse and not x.unwanted and (x.points >= max(10, 0.2 * best.points) or (x.tag == "p" and x.size > 80))):
-            kept.append(x)
+    # up to the ancestor that holds nearly all text that is not links; what stands beside the path stays but for links
+    kept: list[Node | str] = [best]
+    at, enough = best, 0.9 * (tree.root.size - tree.root.links)
+    while at.parent is not None and at.tag not in HELD:
+        if at is not best and at.size - at.links >= enough:
+            break
+        beside = at.parent.children
+        place = next(i for i, x in enumerate(beside) if x is at)
+        kept = [*(x for x in beside[:place] if _beside(x)), *kept, *(x for x in beside[place + 1 :] if _beside(x))]
+        at = at.parent
     return _text(kept)
 
 
+def _beside(x: Node | str) -> bool:
+    return isinstance(x, str) or x.tag == "h1" or (not x.unwanted and x.size > 0 and x.links / x.size < 0.25)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h.as_py() or "") for h in batch.column(2)]

@@ -259,3 +259,15 @@ def test_trigram_queries():
 def test_rules_beyond_the_base(spark):
     text = "key ghp_" + "g" * 36 + " and -----BEGIN RSA PRIVATE KEY-----"
     assert secrets.digest(secrets.find_secrets(docs(spark, [(1, text, "s")]))).first().spans == "github:4:44,private_key:49:80"
+
+
+def test_parts_of_an_article_without_article_or_main():
+    from foliant.llm.pages import main_text
+
+    long, short = "one word, " * 4 + "and many more words " * 13, "a short part, " + "with a few words " * 6
+    part = lambda x: f'<div class="part">{x}</div>'
+    links = "<ul>" + "<li><a href='/'>elsewhere</a></li>" * 5 + "</ul>"
+    first, second = f"<p>{long}</p><p>{long}</p>", f"<h2>Next</h2><p>{short}</p><ul><li>item</li></ul>"
+    for one, two in ((first, second), (f"<div>{first}</div>", f"<div>{second}</div>")):
+        page = f'<html><body><nav>menu</nav><div class="content">{part(one)}<h3>Between</h3>{part(two)}<blockquote>Said</blockquote>{links}</div><footer>end</footer></body></html>'
+        assert main_text(page) == " ".join(f"{long} {long} Between Next {short} item Said".split())
