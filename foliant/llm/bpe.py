@@ -15,15 +15,15 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LEAF = 1 << 15
-CACHED = 150_000
+CACHED = 200_000  # results in one generation of a cache; there are two, of about 30 MB each
 ROWS = 256  # texts that are held as Python objects at once
 
 
@@ -33,23 +33,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memo(dict):
-    """Results of a function by argument; emptied when full, and long arguments are not kept."""
+    """Results of a function by argument, long arguments left out. What a full generation used is kept for one more."""
 
     def __init__(self, make, longest: int):
         super().__init__()
-        self.make, self.longest = make, longest
+        self.make, self.longest, self.old = make, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= CACHED:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
 class Codec:
-    """Encoder and decoder over a table of ranks; caches are bounded and emptied when full."""
+    """Encoder and decoder over a table of ranks; caches are bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # \s of this pattern means Unicode white space; Python would add U+001C to U+001F
@@ -58,7 +62,8 @@ class Codec:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pieces = Memo(lambda piece: self.piece(piece.encode()), 64)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.pieces = Memo(lambda piece: array("i", self.piece(piece.encode())).tobytes(), 64)
         self.halves = Memo(self.piece, 8)
         self.windows = Memo(self.merged, 16)
         self.pairs = Memo(lambda ab: self.windows[self.tokens[ab[0]] + self.tokens[ab[1]]] == ab, 2)
@@ -160,8 +165,12 @@ class Codec:
         half = len(text) // 2
         return self.meet(self.pretokens(text[:half]), self.pretokens(text[half:]))
 
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers in a row."""
+        return b"".join(map(self.pieces.__getitem__, self.pretokens(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pretokens(text))))
+        return array("i", self.encoded(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF:
@@ -176,32 +185,51 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, of: str, make) -> DataFrame:
-    """df with one more column, made from column `of` value by value in Arrow batches."""
+def _encoded(c: Codec, texts: pa.Array) -> pa.Array:
+    parts = [c.encoded(t.as_py() or "") for t in texts]
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _decoded(c: Codec, lists: pa.Array) -> pa.Array:
+    starts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return pa.array([c.decode(values[a:b].tolist() if v else []) for a, b, v in zip(starts[:-1], starts[1:], lists.is_valid().to_pylist())], pa.binary())
+
+
+IDS, BYTES = T.ArrayType(T.IntegerType()), T.BinaryType()
+KINDS = {"ids": (IDS, pa.list_(pa.int32()), _encoded), "bytes": (BYTES, pa.binary(), _decoded)}
+
+
+def _with(df: DataFrame, path: str, pattern: str, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """df with more columns, each made in one pass of Arrow batches: (from column, kind, new column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
-            made = make(batch.column(batch.schema.get_field_index(of)))
-            keep = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name != name]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in keep), pa.array(made, arrow)], schema=pa.schema([*(f for f, _ in keep), pa.field(name, arrow)])
-            )
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for of, kind, new in steps:
+                made = KINDS[kind][2](c, columns[of])
+                columns.pop(new, None)
+                columns[new] = made
+            fields = {f.name: f for f in batch.schema} | {new: pa.field(new, KINDS[kind][1]) for _, kind, new in steps}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=pa.schema([fields[n] for n in columns]))
 
-    fields = [f for f in df.schema.fields if f.name != name]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+    new_names = {new for *_, new in steps}
+    kept = [f for f in df.schema.fields if f.name not in new_names]
+    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(new, KINDS[kind][0]) for _, kind, new in steps)]))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """df with the ids of each whole text, without special tokens, as the public tokenizer would give them.
 
+    With `decoded`, the bytes that the ids stand for are one more column, made in the same pass.
     Null and empty texts: an empty list. Every row stands on its own: ties, repeats and other columns
-    pass through; an existing column named like the new one is replaced. Empty table: no rows.
+    pass through; an existing column named like a new one is replaced. Very long texts are halved down to
+    leaves, so nothing but their result grows with them. Empty table: no rows.
     """
-    return _with(df, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text,
-                 lambda values: (lambda c: [array("i", c.encode(v.as_py() or "")) for v in values])(codec(path, pattern)))
+    return _with(df, path, pattern, [(text, "ids", ids), *([(ids, "bytes", decoded)] if decoded else [])])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that each list of ids stands for; a null list gives no bytes."""
-    return _with(df, out, T.BinaryType(), pa.binary(), ids,
-                 lambda values: (lambda c: [c.decode(v.as_py() or []) for v in values])(codec(path, pattern)))
+    return _with(df, path, pattern, [(ids, "bytes", out)])

@@ -24,9 +24,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    coded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    back = bpe.decode(coded.drop("text"), path, pattern)
-    return back.select(
+    coded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
