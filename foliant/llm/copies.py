@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+from .spans import folded
 from .storage import saved
 
 
@@ -42,35 +44,44 @@ def representatives(marks: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def merged(spans: Column) -> Column:
     """Structs of start and end, in order, joined where they touch or overlap."""
-    first = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    here = lambda acc: F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+    state = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    one = lambda a: F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, s: Column) -> Column:
-        joins = s["start"] <= acc["end"]
-        return F.struct(
-            F.when(joins | acc["start"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], here(acc))).alias("out"),
-            F.when(joins, acc["start"]).otherwise(s["start"]).alias("start"),
-            F.when(joins, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
-        )
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
+        joins = s["start"] <= a["end"]
+        moved = F.struct(F.when(joins, a["start"]).otherwise(s["start"]).alias("start"), F.when(joins, F.greatest(a["end"], s["end"])).otherwise(s["end"]).alias("end"))
+        return moved, F.when(joins | a["start"].isNull(), none).otherwise(one(a))
 
-    return F.aggregate(F.array_sort(spans), first, step, lambda acc: F.when(acc["start"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], here(acc))))
+    return folded(F.array_sort(spans), state, none, step, lambda a: F.when(a["start"].isNull(), none).otherwise(one(a)))
+
+
+def listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def report(marks: DataFrame, grouped: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """doc_id, copy_of, n_words, dup_words, spans, shares_with for every document with a repeated passage.
+    """One row for every document with a repeated passage, copies of a text included.
 
-    found: rep_id, spans, other of representatives. A copy of at least `least` words is repeated whole.
+    found: rep_id, spans, other, links (ids of representatives that share a passage) and perhaps removed
+    (spans of which a document of a smaller id keeps the like) of representatives. A copy of at least `least`
+    words is repeated whole. cluster_id is the smallest id that links connect, n_links their number.
     """
+    links = found.select(F.col("rep_id").alias("a"), F.explode("links").alias("b"))
+    roots = saved(components(links).withColumnRenamed("root", "joint"), "report-clusters")
     rows = marks.select("doc_id", "t1", "t2", "n_words").distinct().join(grouped, ["t1", "t2"])
-    rows = rows.join(found, rows["rep"] == found["rep_id"], "left")
+    rows = rows.join(found, rows["rep"] == found["rep_id"], "left").join(roots, F.col("rep") == roots["node"], "left")
     whole = (F.col("rep") != F.col("last")) & (F.col("n_words") >= least)
-    spans = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.col("spans"))
+    all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    spans = F.when(whole, all_of).otherwise(F.col("spans"))
     partner = F.when(F.col("doc_id") != F.col("rep"), F.when(whole, F.col("rep")).otherwise(F.col("other")))
     partner = partner.otherwise(F.when(whole, F.least(F.col("last"), F.col("other"))).otherwise(F.col("other")))
-    rows = rows.select("doc_id", "rep", "n_words", spans.alias("spans"), partner.alias("shares_with")).filter(F.size("spans") > 0)
+    removed = [F.when(whole & (F.col("doc_id") != F.col("rep")), all_of).otherwise(F.col("removed")).alias("removed")] if "removed" in found.columns else []
+    cluster = F.least(F.col("rep"), F.coalesce("joint", "rep")).alias("cluster_id")
+    n_links = F.coalesce(F.size(F.array_remove("links", F.col("rep"))), F.lit(0)).cast("long").alias("n_links")
+    rows = rows.select("doc_id", "rep", "n_words", spans.alias("spans"), *removed, partner.alias("shares_with"), cluster, n_links).filter(F.size("spans") > 0)
     return rows.select(
-        "doc_id", F.col("rep").alias("copy_of"), F.col("n_words").cast("long").alias("n_words"),
+        "doc_id", F.col("rep").alias("copy_of"), "cluster_id", F.col("n_words").cast("long").alias("n_words"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("dup_words"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-        "shares_with",
+        listed(F.col("spans")).alias("spans"), *([F.coalesce(listed(F.col("removed")), F.lit("")).alias("removed")] if removed else []), "shares_with", "n_links",
     )

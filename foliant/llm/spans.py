@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 SIDE = 48
+BLOCK = 256
+
+
+def folded(items: Column, first: Column, none: Column, step, last=None) -> Column:
+    """What step(state, item) -> (next state, array of results) gives along an array; last(state) may add more.
+
+    Appending one by one copies the whole result for each item. So results gather in short arrays, one for
+    each BLOCK items, and only those are appended to the whole.
+    """
+
+    def block(acc: Column, i: Column) -> Column:
+        def inner(a: Column, x: Column) -> Column:
+            state, more = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(
+            F.slice(items, i * BLOCK + 1, BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), inner,
+            lambda a: F.struct(a["state"].alias("state"), F.concat(acc["out"], a["out"]).alias("out")),
+        )
+
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int"))
+    end = lambda acc: F.concat(acc["out"], last(acc["state"])) if last else acc["out"]
+    return F.aggregate(numbers, F.struct(first.alias("state"), none.alias("out")), block, end)
 
 
 def found(text: Column, pattern: str, context: bool = False) -> Column:
@@ -26,18 +49,18 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
         lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")),
     ) if context else F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"), F.lit("").alias("next")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["value"])
         one = F.struct(
             start.alias("start"), end.alias("end"), x["value"].alias("value"),
             side(x["gap"], F.right).alias("before"), side(x["next"], F.left).alias("after"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.array(one)
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    whole = F.aggregate(F.filter(parts, lambda x: x["value"].isNotNull()), first, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    whole = folded(F.filter(parts, lambda x: x["value"].isNotNull()), F.lit(0).cast("bigint"), none, step)
+    return F.when(text.rlike(pattern), whole).otherwise(none)
 
 
 def labelled(spans: Column, kind: str, ok=None) -> Column:

@@ -171,5 +171,5 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # a few rows of each task: the neighbours over the borders of the tasks
     ends = met.filter("start is null").select("doc_id", "at", "left", "right").distinct().repartition(1).sortWithinPartitions(*order)
     spans = met.filter("start is not null").union(ends.mapInArrow(_compare(False), match)).select("doc_id", "start", "end", "other")
-    found = spans.groupBy(F.col("doc_id").alias("rep_id")).agg(merged(F.collect_set(F.struct("start", "end"))).alias("spans"), F.min("other").alias("other"))
+    found = spans.groupBy(F.col("doc_id").alias("rep_id")).agg(merged(F.collect_set(F.struct("start", "end"))).alias("spans"), F.min("other").alias("other"), F.collect_set("other").alias("links"))
     return report(marks, grouped, saved(found, "suffix-found"), PASSAGE - 1)
