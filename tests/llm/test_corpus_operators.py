@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -155,15 +156,35 @@ def test_near_paragraphs(spark):
 
 
 def test_every_lead_of_a_paragraph_is_compared():
-    rng = random.Random(12)
-    word = lambda: f"W{rng.randrange(10**6)}"
-    for lead in range(36):
-        for edit in {*range(51)} - {*range(lead, lead + 16)}:
-            passage = [word() for _ in range(51)]
-            changed = [*passage[:edit], "other", *passage[edit + 1 :]]
-            a, b = ([word() for _ in range(35 - lead)] + p + [word() for _ in range(lead)] for p in (passage, changed))
-            lo, hi = paragraphs.alike(a, 35, b, 35)
-            assert lo <= -lead and hi >= 51 - lead
+    rng = np.random.default_rng(12)
+    unit, lead = paragraphs.UNIT, paragraphs.LEAD
+    for first in range(lead + 1):
+        for edit in {*range(51)} - {*range(lead - first, lead - first + unit)}:
+            passage = rng.integers(1, 1 << 32, 51, np.uint32)
+            changed = passage.copy()
+            changed[edit] = 7
+            rows = [np.concatenate([rng.integers(1, 1 << 32, first, np.uint32), p, rng.integers(1, 1 << 32, lead - first, np.uint32)]) for p in (passage, changed)]
+            around = paragraphs.Around(pa.array([r.tobytes() for r in rows], pa.binary()))
+            found, lo, hi = paragraphs.spans_alike(around, np.array([0]), np.array([1]))
+            assert found[0] and lo[0] <= first - lead and hi[0] >= first - lead + 51
+
+
+def test_sets_of_repeated_shingles():
+    rng = np.random.default_rng(15)
+    words = rng.integers(1, 1 << 32, 60, np.uint32)
+    rows = []
+    for k in range(12):  # paragraphs that repeat a part of themselves
+        row = np.concatenate([words, words[:32]])
+        row[rng.integers(0, 92, k // 3)] = 9
+        rows.append(row)
+    around = paragraphs.Around(pa.array([r.tobytes() for r in rows], pa.binary()))
+    a, b = map(np.array, zip(*[(i, j) for i in range(12) for j in range(i)]))
+    got = paragraphs.spans_alike(around, a, b)
+    for i, j, found, lo, hi in zip(a, b, *got):
+        grams = [[tuple(r[k : k + 5]) for k in range(88)] for r in (rows[i], rows[j])]
+        sets = [[set(g[c : c + 47]) for c in range(42)] for g in grams]
+        ok = [c for c in range(42) if len(x := sets[0][c]) >= 38 and len(y := sets[1][c]) >= 38 and len(x & y) >= 0.8 * len(x | y)]
+        assert found == bool(ok) and (not ok or (lo, hi) == (ok[0] - 41, ok[-1] - 41 + 51))
 
 
 def test_paragraphs_of_three_that_share_units(spark):
