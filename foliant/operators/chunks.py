@@ -7,9 +7,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, folded
 from ..functions.text import normalize_newlines, preview, stable_id
 from ..functions.tokens import PIECE, token_count
 from .structure import slice_text
@@ -20,9 +21,10 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 MAX_EDIT = 1_000_000
 
 
-def cuts(text: str, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(text: str, max_tokens: int, overlap: int, blank: bool = True) -> list[tuple[int, int]]:
     """Windows of at most max_tokens: each but the last ends at the right-most natural boundary of its last
-    two fifths (before a newline, after a mark), and the next begins so that it repeats at most overlap tokens."""
+    two fifths (before a newline, after a mark), and the next begins so that it repeats at most overlap tokens.
+    Unless blank, they stop before a window without tokens."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
     begins, ends = [a for a, _ in spans], [b for _, b in spans]
     out, start, n = [], 0, len(text)
@@ -34,6 +36,8 @@ def cuts(text: str, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
             low = start + int((safe - start) * 0.6)
             best = max(text.rfind("\n\n", low, safe), text.rfind("\n", low, safe), *(text.rfind(m, low, safe) + 1 or -1 for m in MARKS))
             end = best if best > start else safe
+        if not blank and (first >= len(begins) or begins[first] >= end):
+            break
         out.append((start, end))
         if end >= n:
             break
@@ -42,7 +46,7 @@ def cuts(text: str, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_text(rows: DataFrame, text: str, max_tokens: str, overlap: int) -> DataFrame:
+def cut_text(rows: DataFrame, text: str, max_tokens: str, overlap: int, blank: bool = True) -> DataFrame:
     """rows with part, part_start, part_end for every window of a text column, offsets within that text.
 
     Windows of one text follow from each other, so a text is one row of work; texts spread over all tasks.
@@ -52,7 +56,7 @@ def cut_text(rows: DataFrame, text: str, max_tokens: str, overlap: int) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            windows = [cuts(t or "", int(m), overlap) for t, m in zip(batch[text], batch[max_tokens])]
+            windows = [cuts(t or "", int(m), overlap, blank) for t, m in zip(batch[text], batch[max_tokens])]
             out = batch.loc[batch.index.repeat([len(w) for w in windows]), kept].reset_index(drop=True)
             flat = [(i, a, b) for w in windows for i, (a, b) in enumerate(w)]
             out["part"] = [x[0] for x in flat]
@@ -85,7 +89,7 @@ def chunk_chapters(chapters: DataFrame, books: DataFrame, max_tokens: int = 6000
         "book_id", "chapter_id", "content_start", slice_text(F.col("text"), F.col("content_start"), F.col("content_end")).alias("body"),
         F.lit(max_tokens).alias("most"),
     )
-    parts = cut_text(rows.withColumn("content", F.col("body")), "body", "most", overlap)
+    parts = cut_text(rows.withColumn("content", F.col("body")), "body", "most", overlap, blank=False)
     content = slice_text(F.col("content"), F.col("part_start"), F.col("part_end"))
     parts = parts.select(
         "book_id", "chapter_id", (F.col("content_start") + F.col("part_start")).alias("start_char"),
@@ -99,17 +103,25 @@ def fixed_token_windows(chapters: DataFrame, books: DataFrame, size: int, stride
     rows = chapters.join(books.select("book_id", "text"), "book_id").select(
         "book_id", "chapter_id", "content_start", slice_text(F.col("text"), F.col("content_start"), F.col("content_end")).alias("body")
     )
-    rows = rows.withColumn("pieces", F.regexp_extract_all("body", F.lit(PIECE), F.lit(0)))
-    n = F.size("pieces")
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
-    rows = rows.filter(n > 0).select("book_id", "chapter_id", "content_start", "pieces", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    piece = lambda a, k: F.array_join(F.slice("pieces", a, k), "")
-    begin = F.col("window") * stride
-    start = F.col("content_start") + F.when(begin == 0, F.lit(0)).otherwise(F.length(piece(F.lit(1), F.greatest(begin, F.lit(1)))))
-    rows = rows.withColumns({"content": piece(begin + 1, F.lit(size)), "start_char": start})
+    none = F.array().cast("array<struct<window:int,at:bigint,n:bigint,content:string>>")
+
+    def windows(pieces: Column) -> Column:
+        n = F.size(pieces)
+        last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
+
+        def step(at: Column, w: Column) -> tuple[Column, Column]:
+            piece = lambda k: F.array_join(F.slice(pieces, w * stride + 1, F.lit(k)), "")
+            held = F.least(F.lit(size), n - w * stride).cast("bigint")
+            return at + F.length(piece(stride)), F.array(F.struct(w.alias("window"), at.alias("at"), held.alias("n"), piece(size).alias("content")))
+
+        return F.when(n > 0, folded(F.sequence(F.lit(0), last), F.lit(0).cast("bigint"), none, step)).otherwise(none)
+
+    pieces = F.regexp_extract_all("body", F.lit(PIECE), F.lit(0))
+    rows = rows.select("book_id", "chapter_id", "content_start", F.explode(bound(pieces, windows)).alias("w"))
+    start = F.col("content_start") + F.col("w.at")
     return rows.select(
-        "book_id", "chapter_id", "window", "start_char", (F.col("start_char") + F.length("content")).alias("end_char"),
-        F.least(F.lit(size), F.size("pieces") - begin).cast("bigint").alias("token_count"), "content",
+        "book_id", "chapter_id", F.col("w.window").alias("window"), start.alias("start_char"), (start + F.length("w.content")).alias("end_char"),
+        F.col("w.n").alias("token_count"), F.col("w.content").alias("content"),
     )
 
 

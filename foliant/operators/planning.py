@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import folded
 from ..functions.text import SPACE, content_fingerprint, stable_id
 from ..functions.tokens import token_count
 from .chunks import cut_text
@@ -33,18 +34,16 @@ def next_fit(items: DataFrame, key: str, pos: str, size: str, limit: Column, fir
     xs = items.select(F.col(key).alias("key"), F.struct(F.col(pos).alias("pos"), F.col(size).cast("bigint").alias("size"), limit.cast("bigint").alias("most")).alias("x"))
     xs = xs.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         more = acc["used"] + F.lit(seam) + x["size"]
         fits = (acc["group"] > 0) & (more <= x["most"])
         group = F.when(fits, acc["group"]).otherwise(acc["group"] + 1)
-        return F.struct(
-            group.alias("group"), F.when(fits, more).otherwise(F.lit(first) + x["size"]).cast("bigint").alias("used"),
-            F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), group.alias("group")))).alias("out"),
-        )
+        state = F.struct(group.alias("group"), F.when(fits, more).otherwise(F.lit(first) + x["size"]).cast("bigint").alias("used"))
+        return state, F.array(F.struct(x["pos"].alias("pos"), group.alias("group")))
 
     kind = items.select(pos).schema[0].dataType.simpleString()
-    zero = F.struct(F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<struct<pos:{kind},group:int>>").alias("out"))
-    out = xs.select("key", F.explode(F.aggregate("xs", zero, step, lambda acc: acc["out"])).alias("o"))
+    zero = F.struct(F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("used"))
+    out = xs.select("key", F.explode(folded(F.col("xs"), zero, F.array().cast(f"array<struct<pos:{kind},group:int>>"), step)).alias("o"))
     return out.select(F.col("key").alias(key), F.col("o.pos").alias(pos), F.col("o.group").alias("group"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from typing import Any, Protocol
 
 import pandas as pd
@@ -63,11 +65,12 @@ def mock_generate(requests: DataFrame) -> DataFrame:
     )
 
 
-def generate(requests: DataFrame, client_factory: Callable[[], Client], concurrency: int, max_retries: int = 2, base_delay: float = 0.25) -> DataFrame:
+def generate(requests: DataFrame, client_factory: Callable[[], Client], concurrency: int, max_retries: int = 2, base_delay: float = 0.25, timeout: float = 60.0) -> DataFrame:
     """unit_id, content, model, request_id, tokens, code and attempts, calling a client once per row.
 
     One client per task, `concurrency` tasks at once. Only retryable errors are tried again, after
-    base_delay * 2^attempt. Calls are side effects: write the result before using it twice.
+    base_delay * 2^attempt; an attempt that takes more than `timeout` seconds is one ("timeout"). What a
+    client raises beside CallError is that row's error ("client_error"), not the job's. Calls are side effects: write the result before using it twice.
     """
     schema = (
         "unit_id string, content string, model string, request_id string, input_tokens bigint, output_tokens bigint, code string, "
@@ -75,7 +78,7 @@ def generate(requests: DataFrame, client_factory: Callable[[], Client], concurre
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
+        client, pool = client_factory(), ThreadPoolExecutor(1)
         for batch in batches:
             rows = []
             for unit, prompt in zip(batch["unit_id"], batch["prompt"]):
@@ -85,9 +88,14 @@ def generate(requests: DataFrame, client_factory: Callable[[], Client], concurre
                 for attempt in range(max_retries + 1):
                     began = time.monotonic()
                     try:
-                        got, code = client.generate(prompt), None
+                        got, code = pool.submit(client.generate, prompt).result(timeout), None
                     except CallError as e:
                         code, again = e.code, e.retryable
+                    except FutureTimeout:
+                        code, again = "timeout", True
+                        pool = ThreadPoolExecutor(1)  # the late call keeps the old one
+                    except Exception:
+                        code, again = "client_error", False
                     spent = int((time.monotonic() - began) * 1000)
                     attempts.append({"attempt": attempt + 1, "status": "ok" if code is None else "error", "code": code, "duration_ms": spent})
                     if code is None or not again or attempt == max_retries:

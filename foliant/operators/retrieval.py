@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import grams
+from ..stages import exists, settled
 
 LENGTH, STRIDE = 1200, 1000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -24,37 +25,59 @@ def passages(chunks: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter_id", "chunk_id", F.col("ordinal").alias("chunk_ordinal"), "offset", pid.alias("passage_id"), origin.alias("origin"), content.alias("content"))
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """book_id, passage_id, term, doc_len; terms are distinct within a passage, so each counts once."""
-    terms = rows.select("book_id", "passage_id", grams(F.col("content")).alias("terms"))
-    return terms.select("book_id", "passage_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+def index(rows: DataFrame) -> DataFrame:
+    """book_id, chapter_id, passage_id, doc_len, terms of passages, computed once and kept: everything that search counts on."""
+    terms = rows.select("book_id", "chapter_id", "passage_id", grams(F.col("content")).alias("terms"))
+    return settled(terms.select("book_id", "chapter_id", "passage_id", F.size("terms").alias("doc_len"), "terms"))
 
 
-def index_stats(posted: DataFrame, rows: DataFrame, scope: str | None = "book_id") -> tuple[DataFrame, DataFrame]:
+def stored_index(chunks: DataFrame, root: str) -> DataFrame:
+    """The index of the passages of chunks below root; written only if no index of equal chunks is there.
+
+    The fingerprint is a count and a sum of hashes of all chunks, so it needs no order and no shuffle of texts.
+    """
+    spark = chunks.sparkSession
+    mark = F.xxhash64("book_id", "chapter_id", "chunk_id", "ordinal", "content", "is_edited").cast("decimal(38,0)")
+    n, total = chunks.agg(F.count("*"), F.sum(mark)).first()
+    path = f"{root}/index-{n}-{total or 0}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows = passages(chunks).select("book_id", "chapter_id", "passage_id", grams(F.col("content")).alias("terms"))
+        rows.select("book_id", "chapter_id", "passage_id", F.size("terms").alias("doc_len"), "terms").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def postings(indexed: DataFrame) -> DataFrame:
+    """book_id, chapter_id, passage_id, doc_len, term; terms are distinct within a passage, so each counts once."""
+    return indexed.select("book_id", "chapter_id", "passage_id", "doc_len", F.explode("terms").alias("term"))
+
+
+def index_stats(indexed: DataFrame, scope: str | None = "book_id") -> tuple[DataFrame, DataFrame]:
     """(term, df per scope; n and average length per scope). scope None: one index over all books."""
     keys = [scope] if scope else []
-    freq = posted.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    sizes = rows.select("book_id", F.size(grams(F.col("content"))).alias("n"))
-    totals = sizes.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    return freq, totals
+    freq = postings(indexed).groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    return freq, indexed.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
-def search(queries: DataFrame, posted: DataFrame, freq: DataFrame, totals: DataFrame, rows: DataFrame, k: int = 4, scope: str | None = "book_id", chapters: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, indexed: DataFrame, rows: DataFrame, k: int = 4, scope: str | None = "book_id", chapters: DataFrame | None = None) -> DataFrame:
     """query_id, rank, passage_id, score, content of the k best distinct passages of each query.
 
     queries: query_id, query (and book_id if scoped). At most TERMS distinct terms match by OR; the best
     CANDIDATES by BM25 (ties to the smaller passage_id) are made distinct by chapter and content. chapters
-    (query_id, chapter_id) restricts passages before ranking; frequencies stay global.
+    (query_id, chapter_id) restricts passages before ranking; frequencies stay global. Only postings of
+    asked terms are counted and scored; texts (rows) are met by the best candidates alone.
     """
     keys = [scope] if scope else []
     terms = queries.select("query_id", *keys, F.explode(F.slice(grams(F.col("query")), 1, TERMS)).alias("term"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = terms.join(freq, [*keys, "term"])
+    terms = settled(terms)
+    asked = terms.select(*keys, "term").distinct()
+    posted = settled(postings(indexed).join(asked, [*keys, "term"], "left_semi"))
+    weighed = terms.join(posted.groupBy(*keys, "term").agg(F.count("*").alias("df")), [*keys, "term"])
+    totals = indexed.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     weighed = weighed.join(totals, keys) if keys else weighed.crossJoin(F.broadcast(totals))  # one row
-    weighed = weighed.select("query_id", *keys, "term", idf.alias("idf"), "avg_len")
-    hits = posted.join(weighed, [*keys, "term"])
+    hits = posted.join(weighed.select("query_id", *keys, "term", idf.alias("idf"), "avg_len"), [*keys, "term"])
     if chapters is not None:
-        hits = hits.join(rows.select("book_id", "passage_id", "chapter_id"), ["book_id", "passage_id"]).join(chapters, ["query_id", "chapter_id"], "left_semi")
+        hits = hits.join(chapters, ["query_id", "chapter_id"], "left_semi")
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = hits.groupBy("query_id", "book_id", "passage_id").agg(F.sum(part).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "passage_id")

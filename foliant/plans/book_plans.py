@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as ch
 from ..operators import planning as pl
 from ..operators import structure as st
-from .base import CHAPTERS, CONV, DOCS, HEADINGS, LINES, SIZE, STRIDE, WINDOWS, conv_books, doc_books, preview, query, stable_id, table, tokens
+from .base import CHAPTERS, CONV, DOCS, HEADINGS, LINES, PIECE, SIZE, SPACE, STRIDE, TOKEN, WINDOWS, conv_books, doc_books, preview, query, stable_id, table, tokens
 
 PARSED = CONV + LINES + HEADINGS
 EMPTY = ",\nheadings as (select null::varchar as book_id, null as title, null as kind, null::bigint as start, null::bigint as heading_end, null::bigint as content_start, null::bigint as number where false)"
@@ -196,11 +196,39 @@ def e1(spark, d):
 
 
 LIMIT = 900
-BODIES = f""",
+
+
+def _bodies(limit):
+    """Segments in SQL: whole chapters that fit, and parts that end at the last natural boundary of their last two fifths."""
+    return f""",
+headed as (
+  select book_id, chapter_id, ordinal, title, content as body, '【章节 ' || ordinal || '：' || title as head, regexp_extract_all(content, '{PIECE}') as pieces,
+    regexp_extract_all(content, '{TOKEN}') as words from chapters where regexp_matches(content, '[^{SPACE}]')),
+whole as (select *, head || '】' || chr(10) || body as content from headed),
+long as (
+  select book_id, chapter_id, ordinal, title, head, body, length(body) as n, {limit} - {tokens("head || ' · 片段 999999】' || chr(10)")} as room,
+    list_transform(range(1, len(pieces) + 1), lambda i: length(array_to_string(pieces[1:i], '')) - length(words[i])) as begins
+  from whole where {tokens('content')} > {limit}),
+cut as (
+  with recursive c as (
+    select book_id, chapter_id, 0::bigint as part, 0::bigint as start, 0::bigint as stop from long where room >= 1
+    union all
+    select book_id, chapter_id, part + 1, stop, case when safe = n then n when last > 0 then low + last - case when substr(span, last, 1) = chr(10) then 1 else 0 end else safe end
+    from (select *, length(regexp_extract(span, '(?s)^.*[\n。！？；.!?;]')) as last from (select *, substr(body, low + 1, safe - low) as span from (
+      select *, stop + floor((safe - stop)::double * 0.6::double)::bigint as low from (
+        select c.book_id, c.chapter_id, part, stop, n, body,
+          case when begun + room >= len(begins) then n else greatest(begins[begun + room + 1], stop + 1) end as safe
+        from (select c.*, l.n, l.body, l.room, l.begins, len(list_filter(l.begins, lambda b: b < c.stop)) as begun from c join long l using (book_id, chapter_id) where c.stop < l.n) c)))))
+  select * from c where part > 0),
 segments as (
-  select book_id, chapter_id, ordinal, title, 1 as part_ordinal, content, {tokens('content')} as token_count from (
-    select book_id, chapter_id, ordinal, title, '【章节 ' || ordinal || '：' || title || '】' || chr(10) || content as content from chapters where regexp_matches(content, '[^ \\n]'))
-  where {tokens('content')} <= {LIMIT})"""
+  select book_id, chapter_id, ordinal, title, 1::bigint as part_ordinal, 1::bigint as part_count, content, {tokens('content')} as token_count from whole where {tokens('content')} <= {limit}
+  union all
+  select book_id, chapter_id, ordinal, title, part, part_count, content, {tokens('content')} from (
+    select l.*, part, count(*) over (partition by book_id, chapter_id) as part_count, head || ' · 片段 ' || part || '】' || chr(10) || substr(body, start + 1, stop - start) as content
+    from cut join long l using (book_id, chapter_id)))"""
+
+
+BODIES = _bodies(LIMIT)
 
 
 def _segments(spark, d, limit=LIMIT):
@@ -211,23 +239,20 @@ def _segments(spark, d, limit=LIMIT):
     return pl.plan_segments(bodies, limit)
 
 
-def _fitting(spark, d):
-    return _segments(spark, d)[0].filter("part_count = 1")
-
-
 @query("e2_plan_segments", f"""with {PARSED}{CHAPTERS}{BODIES}
 select book_id, ordinal, part_ordinal, token_count, {stable_id('segment', 'book_id', 'chapter_id', 'part_ordinal', 'sha256(content)', str(LIMIT))} as segment_id from segments""")
 def e2(spark, d):
-    return _fitting(spark, d).select("book_id", "ordinal", "part_ordinal", "token_count", "segment_id")
+    return _segments(spark, d)[0].select("book_id", "ordinal", "part_ordinal", "token_count", "segment_id")
 
 
-@query("e2_plan_segments_split")
+@query("e2_plan_segments_split", f"""with {PARSED}{CHAPTERS}{_bodies(150)}
+select book_id, ordinal, part_ordinal, part_count, token_count, {stable_id('segment', 'book_id', 'chapter_id', 'part_ordinal', 'sha256(content)', '150')} as segment_id from segments""")
 def e2_split(spark, d):
     return _segments(spark, d, 150)[0].select("book_id", "ordinal", "part_ordinal", "part_count", "token_count", "segment_id")
 
 
 PACKED = BODIES + f""",
-seq as (select *, row_number() over (partition by book_id order by ordinal) as pos from segments),
+seq as (select *, row_number() over (partition by book_id order by ordinal, part_ordinal) as pos from segments),
 packed as (
   with recursive p as (
     select book_id, pos, 1 as batch_no, token_count as used from seq where pos = 1
@@ -239,7 +264,7 @@ packed as (
 
 @query("e3_pack_batches", f"with {PARSED}{CHAPTERS}{PACKED} select book_id, pos, batch_no, token_count from packed")
 def e3(spark, d):
-    return pl.pack_batches(_fitting(spark, d), LIMIT).select("book_id", "pos", "batch_no", "token_count")
+    return pl.pack_batches(_segments(spark, d)[0], LIMIT).select("book_id", "pos", "batch_no", "token_count")
 
 
 META = PACKED + f""",
@@ -259,7 +284,7 @@ def e4(spark, d):
 
 
 def _batches(spark, d):
-    return pl.batch_metadata(pl.pack_batches(_fitting(spark, d), LIMIT))
+    return pl.batch_metadata(pl.pack_batches(_segments(spark, d)[0], LIMIT))
 
 
 WORK = """

@@ -233,13 +233,14 @@ def j1(spark, d):
 
 @query("j2_invalidate_downstream", """
 with a as (select user_id as book_id, stage from (select distinct user_id from events), (values ('plan'), ('batch_summary'), ('merge'), ('outline'), ('knowledge')) v(stage)),
-c as (select distinct user_id as book_id, case when event_type = 'view' then 'chunk_edit' else 'summary_edit' end as change from events where event_type in ('view', 'click') and user_id % 3 > 0 and event_id % 40 = 0)
+c as (select book_id, case when kind = 'view' then 'chunk_edit' else 'summary_edit' end as change from (select user_id as book_id, max_by(event_type, event_id) as kind from events group by user_id) where kind in ('view', 'click'))
 select * from a where not exists (select 1 from c where c.book_id = a.book_id and (c.change = 'chunk_edit' or a.stage in ('merge', 'outline', 'knowledge')))""")
 def j2(spark, d):
     e = table(spark, d, "events")
     stages = F.explode(F.array(*map(F.lit, ("plan", "batch_summary", "merge", "outline", "knowledge"))))
     artifacts = e.select(F.col("user_id").alias("book_id")).distinct().withColumn("stage", stages)
-    changes = e.filter("event_type in ('view', 'click') and user_id % 3 > 0 and event_id % 40 = 0").select(F.col("user_id").alias("book_id"), F.when(F.col("event_type") == "view", "chunk_edit").otherwise("summary_edit").alias("change")).distinct()
+    last = e.groupBy(F.col("user_id").alias("book_id")).agg(F.max_by("event_type", "event_id").alias("kind")).filter("kind in ('view', 'click')")
+    changes = last.select("book_id", F.when(F.col("kind") == "view", "chunk_edit").otherwise("summary_edit").alias("change"))
     return inc.invalidate_downstream(artifacts, changes)
 
 
@@ -315,12 +316,6 @@ def j8(spark, d):
     return inc.library(books, plans, inc.task_status(_work(spark, d)))
 
 
-@query("a6_read_trace", f"with {TRACE} select event_id, time, kind, task_id from trace")
-def a6(spark, d):
-    """Trace records in order of time."""
-    return trace(spark, d).select("event_id", "time", "kind", "task_id").orderBy("time", "event_id")
-
-
 STATES = "case event_type when 'signup' then 'pending' when 'view' then 'running' when 'click' then 'merging' when 'purchase' then 'completed' else 'failed' end"
 PHASES = "case event_type when 'signup' then 'queued' when 'view' then 'summarizing' when 'click' then 'merging' when 'purchase' then 'completed' else 'failed' end"
 

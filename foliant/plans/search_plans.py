@@ -45,10 +45,8 @@ def _passages(spark, d):
 
 def _search(spark, d, chapters=None):
     rows = _passages(spark, d)
-    posted = rt.postings(rows)
-    freq, totals = rt.index_stats(posted, rows, None)
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rt.search(queries, posted, freq, totals, rows, 4, None, chapters)
+    return rt.search(queries, rt.index(rows), rows, 4, None, chapters)
 
 
 @query("h1_passages", f'with {PASSAGES} select book_id, chapter_id, chunk_id, "offset", passage_id, origin from passages')
@@ -63,8 +61,7 @@ def h2(spark, d):
 
 @query("h3_build_index", f"with {INDEX} select term, df, n_docs, round(avg_len, 6) as avg_len from freq, totals")
 def h3(spark, d):
-    rows = _passages(spark, d)
-    freq, totals = rt.index_stats(rt.postings(rows), rows, None)
+    freq, totals = rt.index_stats(rt.index(_passages(spark, d)), None)
     return freq.crossJoin(F.broadcast(totals)).select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))  # one row
 
 
@@ -128,10 +125,10 @@ def trace(spark, d):
 
 
 @query("l2_quote_coverage", """
-with checks as (select doc_id as item_id, quality = 1 as valid from labels where doc_id % 3 > 0), ok as (select item_id, bool_and(valid) as ok from checks group by item_id)
+with checks as (select doc_id as item_id, quality = 1 as valid from labels), ok as (select item_id, bool_and(valid) as ok from checks group by item_id)
 select count(*) as items, count(case when ok then 1 end) as covered, count(case when ok then 1 end) / count(*) as coverage from (select distinct doc_id as item_id from documents) left join ok using (item_id)""")
 def l2(spark, d):
-    checks = table(spark, d, "labels").filter("doc_id % 3 > 0").select(F.col("doc_id").alias("item_id"), (F.col("quality") == 1).alias("valid"))
+    checks = table(spark, d, "labels").select(F.col("doc_id").alias("item_id"), (F.col("quality") == 1).alias("valid"))
     return ev.quote_coverage(table(spark, d, "documents").select(F.col("doc_id").alias("item_id")).distinct(), checks)
 
 

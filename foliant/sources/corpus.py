@@ -11,24 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, is_readable, normalize_newlines
+from ..stages import exists, settled
 
 MAX_BYTES = 50 * 1024 * 1024
 CASCADE = ("gb18030", "big5")
+#: Tried last: encodings that accept few texts of others, then one that accepts nearly all.
+LAST_RESORT = ("utf-16-le", "utf-16-be", "shift_jis", "euc_kr", "cp1251", "cp1252")
 
 
-def read_txt_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(accepted: book_id, path, filename, size_bytes, modified_at, content; rejected: path, filename, size_bytes, reason).
-
-    All files below path are listed, so that rejects are on record; contents are read of accepted ones only.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def judged(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows of path and length with filename and the reason to reject them, null for accepted ones."""
     name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     media = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     reason = (
         F.when(media != "txt", "wrong_suffix").when(F.length(name) > 255, "name_too_long")
         .when(name.rlike(r"[\x00-\x1F]"), "bad_name").when(F.col("length") > max_bytes, "too_large")
     )
-    rows = files.withColumns({"filename": name, "reason": reason})
+    return files.withColumns({"filename": name, "reason": reason})
+
+
+def read_txt_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(accepted: book_id, path, filename, size_bytes, modified_at, content; rejected: path, filename, size_bytes, reason).
+
+    All files below path are listed, so that rejects are on record; contents are read of accepted ones only.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows, name = judged(files, max_bytes), F.try_element_at(F.split("path", "/"), F.lit(-1))
     # the reader skips files without any byte: they are those of the listing that no row has
     listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/"),) for f in files.inputFiles()], "path string")
     empty = listed.join(files.select("path"), "path", "left_anti").withColumn("filename", name)
@@ -42,15 +50,29 @@ def _legacy(data: bytes) -> tuple[str | None, str | None]:
     """Text and encoding of bytes that are not UTF-8: by byte order mark, then the cascade, strictly."""
     tries = ("utf-16",) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else CASCADE
     for encoding in tries:
-        try:
-            text = data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        plain = text.replace("\r\n", "\n").replace("\r", "\n")
-        controls = sum(c < " " and c not in "\n\t" for c in plain)
-        if plain.strip() and controls <= max(5, len(plain) // 100):
+        if (text := _readable(data, encoding)) is not None:
             return text, encoding
-    return None, None
+    # a detector of last resort: of the readable decodings, the one with the largest share of ordinary letters
+    found = [(_plain_share(text), -i, text, encoding) for i, encoding in enumerate(LAST_RESORT) if (text := _readable(data, encoding)) is not None]
+    best = max(found, default=None)
+    return (best[2], best[3]) if best and best[0] >= 0.8 else (None, None)
+
+
+def _readable(data: bytes, encoding: str) -> str | None:
+    try:
+        text = data.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+    plain = text.replace("\r\n", "\n").replace("\r", "\n")
+    controls = sum(c < " " and c not in "\n\t" for c in plain)
+    return text if plain.strip() and controls <= max(5, len(plain) // 100) else None
+
+
+def _plain_share(text: str) -> float:
+    """The share of characters that are white space, ASCII, or letters beside letters of the same script."""
+    scripts = [0 if c.isspace() or " " <= c < "\x7f" else ord(c) // 512 + 1 if c.isalpha() else -1 for c in text]
+    common = max(set(scripts) - {0, -1}, key=scripts.count, default=0)
+    return sum(s == 0 or s == common for s in scripts) / len(text)
 
 
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +102,18 @@ def read_stage(spark: SparkSession, root: str, name: str, schema: T.StructType |
 
 
 def write_stage(df: DataFrame, root: str, name: str, buckets: int = 64, key: str = "book_id") -> None:
-    """Replace the buckets of the keys in df and leave the others as they are."""
+    """Replace the rows of the keys in df and leave all others as they are.
+
+    Only the buckets that hold such keys are read and written again. Their new rows are settled first,
+    as they come from the files that they replace; a large bucket is many files.
+    """
+    path, spark = f"{root}/{name}", df.sparkSession
     out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
+    if exists(spark, path):
+        out = settled(out)
+        others = spark.read.schema(out.schema).parquet(path).join(out.select("bucket").distinct(), "bucket", "left_semi")
+        out = settled(out.unionByName(others.join(out.select(key).distinct(), key, "left_anti")))
+    out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def expire(books: DataFrame, now: Column, ttl: timedelta) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +131,14 @@ def purge(children: DataFrame, expired: DataFrame, key: str = "book_id") -> Data
 TRACE = "time timestamp, kind string, task_id string, status string, duration_ms double, estimated_tokens bigint, measured_tokens bigint"
 
 
+TRACE_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
+
+
 def read_trace(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Trace records of JSON lines; in batch sorted by time."""
     if stream:
-        return spark.readStream.schema(TRACE).json(path)
-    return spark.read.schema(TRACE).json(path).orderBy("time", "kind", "task_id")
+        return spark.readStream.schema(TRACE).option("timestampFormat", TRACE_TIME).json(path)
+    return spark.read.schema(TRACE).option("timestampFormat", TRACE_TIME).json(path).orderBy("time", "kind", "task_id")
 
 
 def blank(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_terminal, phase
 from ..operators.retrieval import passages
 from ..operators.structure import chapters
-from ..sources.corpus import decode_text, read_txt_corpus
+from ..sources.corpus import decode_text, judged, read_txt_corpus
 
 MANIFEST = "task_id string, status string, completed int, total int, updated_at timestamp"
 
@@ -40,14 +40,17 @@ def stream_trace_totals(trace: DataFrame) -> DataFrame:
 def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callable[[DataFrame, str], None]):
     """New text files through decoding, chapters and passages, once each; returns the started query.
 
-    The batch function sees whole files, as headings need loops; write(df, name) appends a table.
+    The batch function sees whole files, as headings need loops; write(df, name) appends a table. Files that
+    the checks of read_txt_corpus or all encodings reject go to the table rejected, with the reason.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
 
     def batch(rows: DataFrame, _: int) -> None:
-        paths = rows.select(F.md5(F.col("path").cast("binary")).alias("book_id"), "content", "path")
-        books, _bad = decode_text(paths)
+        checked = judged(rows)
+        paths = checked.filter("reason is null").select(F.md5(F.col("path").cast("binary")).alias("book_id"), "content", "path")
+        books, bad = decode_text(paths)
+        write(checked.filter("reason is not null").select("path", "reason").union(bad.select("path", "reason")), "rejected")
         books = books.persist()
         found = chapters(books)
         whole = found.join(books.select("book_id", "text"), "book_id").select(

@@ -15,10 +15,8 @@ def passages(spark, *texts, edited=False):
 
 
 def find(spark, rows, query, k=4, chapters=None):
-    posted = rt.postings(rows)
-    freq, totals = rt.index_stats(posted, rows)
     queries = spark.createDataFrame([("q", "b", query)], "query_id string, book_id string, query string")
-    return [r.chapter_id for r in rt.search(queries, posted, freq, totals, rows, k, "book_id", chapters).orderBy("rank").collect()]
+    return [r.chapter_id for r in rt.search(queries, rt.index(rows), rows, k, "book_id", chapters).orderBy("rank").collect()]
 
 
 def test_passages_overlap_and_keep_the_tail(spark):

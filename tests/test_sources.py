@@ -44,6 +44,19 @@ def test_stage_replaces_only_its_keys(spark, tmp_path):
     assert len(after) == 40 and {b for b, v in after.items() if v == 2} == set(mine)
 
 
+def test_stage_keeps_other_keys_of_a_bucket(spark, tmp_path):
+    root, kind = str(tmp_path), "book_id string, v int, bucket int"
+    corpus.write_stage(spark.createDataFrame([(f"b{i}", 1) for i in range(200)], "book_id string, v int"), root, "s", buckets=4)
+    corpus.write_stage(spark.createDataFrame([("b0", 2), ("new", 3)], "book_id string, v int"), root, "s", buckets=4)
+    after = {r.book_id: r.v for r in corpus.read_stage(spark, root, "s", kind).collect()}
+    assert len(after) == 201 and {b: v for b, v in after.items() if v > 1} == {"b0": 2, "new": 3}
+
+
+def test_last_resort_encodings():
+    assert corpus._legacy("Съешь ещё этих мягких французских булок".encode("cp1251"))[0] is not None
+    assert corpus._legacy(bytes(range(1, 32)) * 20) == (None, None)
+
+
 def test_expiry(spark):
     books = spark.createDataFrame([("a", 10, 0), ("b", None, 0), ("c", None, 50)], "book_id string, e long, m long")
     books = books.select("book_id", F.timestamp_seconds("e").alias("expires_at"), F.timestamp_seconds("m").alias("modified_at"))

@@ -145,3 +145,23 @@ def test_grams(spark):
 def test_file_names(spark):
     got = [r[0] for r in spark.createDataFrame([("../../山海:卷?.TXT",), ("\x01/..",)], "x string").select(t.safe_filename(F.col("x"), "html", "outline")).collect()]
     assert got == ["山海_卷-全书细纲.html", "outline-全书细纲.html"]
+
+
+def test_folds_are_linear(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.operators.planning import next_fit
+
+    items = spark.range(200_000).select(F.lit("b").alias("book_id"), F.col("id").alias("pos"), F.lit(3).alias("size"))
+    groups = next_fit(items, "book_id", "pos", "size", F.lit(10))
+    assert groups.agg(F.max("group"), F.count("*")).first()[:2] == (66_667, 200_000)
+    books = spark.range(1).select(F.lit("b").alias("book_id"), F.expr("repeat('word ', 1000000)").alias("text"))
+    chapters = books.select("book_id", F.lit("c").alias("chapter_id"), F.lit(0).alias("content_start"), F.length("text").alias("content_end"))
+    windows = ch.fixed_token_windows(chapters, books, 120, 90)
+    last = windows.agg(F.count("*").alias("n"), F.max("end_char").alias("end")).first()
+    assert (last.n, last.end) == (11111, 4_999_999)
+
+
+def test_blank_text_gives_no_chunk():
+    assert ch.cuts("   \n", 5, 0, blank=False) == [] and ch.cuts("   \n", 5, 0) == [(0, 4)]
+    assert ch.cuts("a b   ", 5, 0, blank=False) == [(0, 6)]
