@@ -67,8 +67,9 @@ def a4(spark, d):
 @query("a6_read_trace", f"with {TRACE} select time, kind, task_id, status, duration_ms, estimated_tokens, measured_tokens from trace")
 def a6(spark, d):
     folder = new_folder(spark, "trace")
-    trace(spark, d).drop("event_id").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
-    return corpus.read_trace(spark, folder)
+    records = trace(spark, d).drop("event_id").withColumn("time", F.col("time").cast("timestamp"))
+    records.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    return corpus.read_trace(spark, folder).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query("m3_counter", "select doc_id, coalesce(length(text), 0)::bigint as regular, coalesce(len(string_split(text, ' ')), 0)::bigint as pandas from documents")
