@@ -21,15 +21,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li h2 h3 h4 figcaption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas head dialog menu header audio video map".split())
+DROPPED = frozenset("script style noscript template nav footer aside button select textarea input iframe object embed svg canvas head dialog menu header audio video map".split())
 HELD = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Names of furniture: the last word of a name tells what it is (post-comments), but for words of size and place.
 FURNITURE = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu breadcrumb "
     "breadcrumbs footer header masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget toolbar pagination pager "
     "login signin signup register hidden skip tags".split()
 )
+PLACES = frozenset("left right top bottom inner outer box wrapper wrap container block section area region panel list item items bar row column col group slot unit main wide small large form link links button buttons".split())
+LEADING = frozenset("ad ads advert advertisement sponsored promo sidebar comment comments cookie cookies gdpr newsletter share sharing related recommended breadcrumb".split())
+ARTICLE = frozenset("article content body text story post page entry main".split())
+NOT = frozenset("has no not with without js".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: An open tag ends these when it begins: (new tags) -> what they end, up to the given borders.
 ENDS = [
     (frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), frozenset(["p"]), frozenset("button td th li dd dt div section article body".split())),
@@ -40,31 +46,41 @@ ENDS = [
     (frozenset(["option"]), frozenset(["option"]), frozenset(["select"])),
 ]
 LEVELS = 5
+LOOSE = frozenset("html body main article section div form td".split())  # containers whose own text is a paragraph
+
+
+#: Marks of subtrees: furniture by its name or role only, which may be wrong, and by what it is.
+TOLD, SURE = 1, 2
 
 
 class Node:
-    __slots__ = ("children", "links", "parent", "points", "size", "tag", "unwanted")
+    __slots__ = ("children", "links", "mark", "parent", "points", "size", "tag", "unwanted")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool):
-        self.tag, self.parent, self.unwanted = tag, parent, unwanted
+    def __init__(self, tag: str, parent: Node | None, mark: int):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.children: list[Node | str] = []
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.unwanted, self.points, self.size, self.links = mark > 0, 0.0, 0, 0
 
 
-def _unwanted(tag: str, attrs: dict[str, str | None]) -> bool:
+def _mark(tag: str, attrs: dict[str, str | None]) -> int:
     if tag in DROPPED:
-        return True
+        return SURE
+    names = [re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", x).lower()) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()]
     if tag in HELD:
-        return tag == "article" and bool({"comment", "reply"} & _names(attrs))
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
-        return True
-    return not FURNITURE.isdisjoint(_names(attrs))
-
-
-def _names(attrs: dict[str, str | None]) -> set[str]:
-    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
+        return SURE if tag == "article" and any({"comment", "reply"} & set(n) for n in names) else 0
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
+        return SURE
+    told = TOLD if tag == "form" or (attrs.get("role") or "").lower() in ROLES else 0
+    for name in names:
+        if not name or name[0] in NOT:
+            continue
+        end = len(name)
+        while end > 1 and name[end - 1] in PLACES:
+            end -= 1
+        head = name[end - 1]
+        if head in FURNITURE or (name[0] in LEADING and head not in ARTICLE):
+            told = SURE if COMMENTS & {head, name[0]} else max(told, TOLD)
+    return told
 
 
 class Tree(HTMLParser):
@@ -72,7 +88,7 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None, False)
+        self.root = self.at = Node("html", None, 0)
         self.nodes: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
@@ -85,7 +101,7 @@ class Tree(HTMLParser):
                     self.at = up.parent
         if tag == "html":
             return
-        node = Node(tag, self.at, _unwanted(tag, dict(attrs)))
+        node = Node(tag, self.at, _mark(tag, dict(attrs)))
         self.at.children.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -117,7 +133,7 @@ def _parsed(html: str) -> Tree:
         tree.close()
     except AssertionError:  # a malformed marked section
         tree = Tree()
-        tree.feed(html.replace("<![", "&lt;!["))
+        tree.feed(re.sub(r"<!\[[^>]*>?", "", html))  # to browsers a comment
         tree.close()
     return tree
 
@@ -152,6 +168,8 @@ def _inside(node: Node, tag: str) -> bool:
 
 def _measure(tree: Tree) -> None:
     """Sizes of text and of link text of every wanted node, children before parents."""
+    for node in [tree.root, *tree.nodes]:
+        node.size = node.links = 0
     for node in [*reversed(tree.nodes), tree.root]:
         if node.unwanted:
             node.size = node.links = 0
@@ -164,18 +182,20 @@ def _measure(tree: Tree) -> None:
             node.parent.links += node.links
 
 
-def _score(tree: Tree) -> list[Node]:
+def _score(tree: Tree) -> Node | None:
+    """The container of most points."""
     dropped: set[int] = set()
     scored: dict[int, Node] = {}
-    for node in tree.nodes:
+    for node in [tree.root, *tree.nodes]:
+        node.points = 0.0
+    for node in [tree.root, *tree.nodes]:
         if node.unwanted or (node.parent is not None and id(node.parent) in dropped):
             dropped.add(id(node))
             continue
-        loose = node.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in node.children)
+        loose = node.tag in LOOSE and any(c.strip() if isinstance(c, str) else c.tag in INLINE and c.size for c in node.children)
         if not (node.tag in PARAGRAPH or loose) or not node.size:
             continue
-        own = [c for c in node.children if isinstance(c, str) or c.tag in INLINE]
-        text = _text(own)
+        text = _text([c for c in node.children if isinstance(c, str) or c.tag in INLINE])
         if not text:
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, node.links / node.size))
@@ -188,17 +208,42 @@ def _score(tree: Tree) -> list[Node]:
             up = up.parent
     for node in scored.values():
         node.points *= 1 - min(1.0, node.links / max(1, node.size))
-    return list(scored.values())
+    return max(scored.values(), key=lambda n: n.points, default=None)
+
+
+def _best(tree: Tree) -> Node | None:
+    """The best container. Marks by name alone that cost most of the page's text are lifted if what is left scores little."""
+    _measure(tree)
+    best, size = _score(tree), tree.root.size
+    told = [n for n in tree.nodes if n.mark == TOLD]
+    if not told:
+        return best
+    for node in told:
+        node.unwanted = False
+    _measure(tree)
+    half = 0.5 * (tree.root.size - tree.root.links)
+    large = [n for n in told if n.size - n.links >= half] if tree.root.size > 2 * size else []
+    for node in told:
+        node.unwanted = node not in large
+    points = best.points if best else 0.0
+    _measure(tree)
+    if large:
+        lifted = _score(tree)
+        if lifted is not None and points < 0.2 * lifted.points:
+            return lifted
+        for node in large:
+            node.unwanted = True
+        _measure(tree)
+        best = _score(tree)
+    return best
 
 
 def main_text(html: str) -> str:
     """The article of one page; empty if it has none."""
     tree = _parsed(html)
-    _measure(tree)
-    scored = _score(tree)
-    if not scored:
-        return ""
-    best = max(scored, key=lambda n: n.points)
+    best = _best(tree)
+    if best is None or best.points <= 0:  # nothing scores: what text there is, unless it is links
+        return _text([tree.root]) if 2 * tree.root.links < tree.root.size else ""
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
@@ -232,8 +277,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row: the article's blocks in page order, white space as single spaces.
 
-    Null, empty or text-free html: an empty text. Rows stand alone, so repeats and ties are kept as they
-    are; other columns are ignored; an empty table gives no rows.
+    Null, empty or text-free html: an empty text. Rows stand alone, so repeats are kept as they are; of
+    containers with equal points the first counts; very long and deep pages are walked without recursion;
+    other columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string")

@@ -156,7 +156,7 @@ def test_articles(wrap):
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>x"), (4, "u", "<nav>only menu</nav>"), (5, "u", "<div>" * 5000 + "deep text, here" + "</div>" * 10), (5, "u", "<![bad <p>text, fine"), (6, "u", "plain &lt;text&gt;")]
     out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
-    assert [r.text for r in out[:4]] == ["", "", "x", ""] and out[4].text == "deep text, here" and len(out) == 7
+    assert [r.text for r in out] == ["", "", "x", "", "deep text, here", "text, fine", "plain <text>"]
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
@@ -271,3 +271,49 @@ def test_parts_of_an_article_without_article_or_main():
     for one, two in ((first, second), (f"<div>{first}</div>", f"<div>{second}</div>")):
         page = f'<html><body><nav>menu</nav><div class="content">{part(one)}<h3>Between</h3>{part(two)}<blockquote>Said</blockquote>{links}</div><footer>end</footer></body></html>'
         assert main_text(page) == " ".join(f"{long} {long} Between Next {short} item Said".split())
+
+
+PARTS_OF_TEXT = ["one part, of some words, " * 8, "another part, with others, " * 7, "the last, and shortest one, " * 6]
+
+
+@pytest.mark.parametrize("wrap", [
+    '<div class="content has-sidebar">{}</div>', '<div class="site no-footer">{}</div>', '<div id="social-policy-article">{}</div>',
+    '<div class="post tags-politics">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="promo">{}</div>', '<div role="form"><div class="header">{}</div></div>',
+])
+def test_a_name_alone_does_not_condemn_the_page(wrap):
+    parts = [" ".join(p.split()) for p in PARTS_OF_TEXT]
+    page = "<html><body><nav><a href=/>Home</a></nav>{}<div class='comments'><p>What, a, long, comment, this, is, it, is, it is.</p></div><footer>end</footer></body></html>"
+    assert pages.main_text(page.format(wrap.format("".join(f"<p>{p}</p>" for p in parts)))) == " ".join(parts)
+
+
+def test_pages_without_paragraphs():
+    text = " ".join(PARTS_OF_TEXT[0].split())
+    assert pages.main_text(f"<html><body><span>{text}</span></body></html>") == text
+    assert pages.main_text(text) == text
+    assert pages.main_text(f"<body><h1>Only a head</h1></body>") == "Only a head"
+    assert pages.main_text("<body><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul></body>") == ""
+
+
+def test_generated_pages_give_their_article():
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "epsilon"]) for _ in range(n))
+    noise = ["<nav><a href=/>{}</a></nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<div class='cookie-notice'>{}</div>", "<ul class='site-menu'><li><a href=/>{}</a></ul>", "<div id='related-posts'><p>{}</p></div>", "<form>{}<input></form>", "<footer>{}</footer>"]
+    for _ in range(200):
+        blocks = [(rng.choice(["p", "p", "p", "h2", "blockquote"]), words(rng.randint(3, 60))) for _ in range(rng.randint(3, 12))]
+        blocks.append(("p", words(80)))
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+        open_, close = rng.choice([("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div class='post-body'>", "</div>"), ("<div><section>", "</section></div>"), ("<div class='page with-sidebar'>", "</div>")])
+        around = [x.format(words(rng.randint(1, 12))) for x in rng.sample(noise, rng.randint(0, 5))]
+        k = rng.randint(0, len(around))
+        html = "<html><body>" + "".join(around[:k]) + open_ + body + close + "".join(around[k:]) + "</body></html>"
+        assert pages.main_text(html) == " ".join(x for _, x in blocks), html
+
+
+def test_many_matches_in_one_text(spark):
+    text = "mail a@b.co and 1.2.3.4 or " * 20_000
+    rows = docs(spark, [(1, text, "s")])
+    out = pii.digest(pii.find_pii(rows)).first()
+    assert (out.n_email, out.n_ip) == (20_000, 20_000)
+    assert pii.redact(rows).first().text == text.replace("a@b.co", "<EMAIL>").replace("1.2.3.4", "<IP>")
+    found = secrets.digest(secrets.find_secrets(docs(spark, [(1, "token=abcdefgh1 " * 20_000, "s")]))).first()
+    assert found.n_assign == 20_000
