@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import BLOCK, bound, folded
 from .spans import SPAN, count_kind, digits, found, labelled, listed, luhn, ordered, row_key
 from .storage import saved
 
+ONE = SPAN.removeprefix("array<").removesuffix(">")
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
 BLANK = r"\x20\x09-\x0D"
@@ -56,25 +58,45 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _seeded(told: Column, base: Column) -> Column:
+    """s, seed for each span of told (none overlap): the kind of a base span that overlaps it, or null.
+
+    In order of start, such a span is one of those before, the one that ends last, or else the next one.
+    """
+    own = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("told"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(None).cast(ONE).alias("s")))
+    mine = F.transform(told, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("told"), s["end"].alias("end"), F.lit("").alias("kind"), s.alias("s")))
+    at = lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), lambda x, n: F.struct(x.alias("x"), n.alias("next")))
+
+    def step(last: Column, pair: Column) -> tuple[Column, Column]:
+        x, after = pair["x"], pair["next"]
+        seed = F.when(last["end"] > x["start"], last["kind"]).when((after["told"] == 0) & (after["start"] < x["end"]), after["kind"])
+        moved = F.when((x["told"] == 0) & (x["end"] > last["end"]), F.struct(x["end"].alias("end"), x["kind"].alias("kind"))).otherwise(last)
+        return moved, F.when(x["told"] == 1, F.array(F.struct(x["s"].alias("s"), seed.alias("seed")))).otherwise(none)
+
+    none = F.array().cast(f"array<struct<s:{ONE},seed:string>>")
+    first = F.struct(F.lit(-1).cast("bigint").alias("end"), F.lit("").alias("kind"))
+    return F.when(F.size(told) == 0, none).otherwise(folded(bound(F.array_sort(F.concat(own, mine)), at), first, none, step))
+
+
 def _items(text: Column, base: Column) -> Column:
     """Identifier-like strings: start, end, value, kind, role (2 seed, 1 candidate, 0 neither), patterns."""
     told = F.when(text.rlike(r"[0-9]|[\[(]at[\])]"), found(text, ITEM, context=True)).otherwise(F.array().cast(SPAN))
     word = lambda c, i: F.coalesce(F.try_element_at(F.filter(F.split(F.lower(c), rf"[{BLANK}]+"), lambda w: w != ""), F.lit(i)), F.lit(""))
     plain = lambda c: F.regexp_replace(c, "[0-9]", "0")
 
-    def one(s: Column) -> Column:
-        seed = F.try_element_at(F.filter(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])), F.lit(1))
+    def one(x: Column) -> Column:
+        s, seed = x["s"], x["seed"]
         loose = F.lit(None).cast("string")
         for kind, pattern in reversed(list(LOOSE.items())):
             loose = F.when(s["value"].rlike(f"^(?:{pattern})$"), kind).otherwise(loose)
         before, last, after = word(s["before"], -2), word(s["before"], -1), word(s["after"], 1)
         return F.struct(
-            s["start"], s["end"], F.lower(s["value"]).alias("value"), F.coalesce(seed["kind"], loose, F.lit("other")).alias("kind"),
+            s["start"], s["end"], F.lower(s["value"]).alias("value"), F.coalesce(seed, loose, F.lit("other")).alias("kind"),
             F.when(seed.isNotNull(), 2).when(loose.isNotNull(), 1).otherwise(0).alias("role"),
             F.array(F.concat(F.lit("2<"), plain(before), F.lit(" "), plain(last)), F.concat(F.lit("<>"), plain(last), F.lit("_"), plain(after))).alias("patterns"),
         )
 
-    return F.transform(told, one)
+    return F.transform(_seeded(told, base), one)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -121,7 +143,8 @@ def added_spans(scanned: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (both kind, start, end by kind then start) of every row of docs.
 
-    Null text: no spans. Equal rows get equal spans. Empty table: no rows. Other columns are ignored.
+    Null text: no spans. Equal rows get equal spans. Empty table: no rows. Other columns are ignored. Very
+    long texts cost in proportion to their length; spans of one kind never overlap, so there are no ties.
     """
     scanned = scan(docs)
     added = added_spans(scanned)
@@ -130,8 +153,40 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "base", spans.alias("spans"))
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """text with its spans (by start) replaced by their kinds; of spans that overlap, the first counts.
+
+    A substring is found from the start of its text, so BLOCK spans at a time work on their own part of it.
+    """
+    none = F.array().cast("array<string>")
+
+    def block(acc: Column, i: Column) -> Column:
+        some = F.slice(spans, i * BLOCK + 1, BLOCK)
+        stop = F.greatest(acc["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+
+        def within(part: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                gap = F.substring(part, (a["at"] - acc["at"]).cast("int") + 1, (s["start"] - a["at"]).cast("int"))
+                piece = F.when(s["start"] >= a["at"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(none)
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
+
+            return F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step, lambda a: F.struct(
+                a["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(a["out"], ""))).alias("out")))
+
+        return bound(F.substring(text, acc["at"].cast("int") + 1, (stop - acc["at"]).cast("int")), within)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    rest = lambda acc: F.substring(text, acc["at"].cast("int") + 1, F.length(text))
+    return F.aggregate(blocks, first, block, lambda acc: F.concat(F.array_join(acc["out"], ""), rest(acc)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in angle brackets, other columns as they are."""
+    """docs with every span of text replaced by its kind in angle brackets, other columns as they are.
+
+    Null texts stay null; rows without an id are cleaned like others; repeated rows alike; very long texts in
+    blocks of spans; an empty table gives no rows. Columns of docs keep their names and values.
+    """
     added = added_spans(scan(docs)).select(F.col("key_a").alias("__pii_a"), F.col("key_b").alias("__pii_b"), F.col("added").alias("__pii_added"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a, b = row_key(F.col("doc_id"), text)
@@ -141,20 +196,8 @@ def redact(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     spans = ordered(F.concat(base_spans(text), F.coalesce(F.col("__pii_added"), none)), KINDS, by_start=True)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(
-            s["start"] >= acc["at"],
-            F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
-        ).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     rows = rows.withColumn("__pii_spans", spans)
-    clean = F.aggregate(
-        F.col("__pii_spans"), first, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text))),
-    )
-    text_out = F.when(F.size("__pii_spans") > 0, clean).otherwise(F.col("text")).alias("text")
+    text_out = F.when(F.size("__pii_spans") > 0, bound(F.col("__pii_spans"), lambda s: _replaced(text, s))).otherwise(F.col("text")).alias("text")
     return rows.select(*[text_out if c == "text" else docs[c] for c in docs.columns])
 
 

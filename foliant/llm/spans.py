@@ -9,31 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, folded
+
 SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 SIDE = 48
-BLOCK = 256
-
-
-def folded(items: Column, first: Column, none: Column, step, last=None) -> Column:
-    """What step(state, item) -> (next state, array of results) gives along an array; last(state) may add more.
-
-    Appending one by one copies the whole result for each item. So results gather in short arrays, one for
-    each BLOCK items, and only those are appended to the whole.
-    """
-
-    def block(acc: Column, i: Column) -> Column:
-        def inner(a: Column, x: Column) -> Column:
-            state, more = step(a["state"], x)
-            return F.struct(state.alias("state"), F.concat(a["out"], more).alias("out"))
-
-        return F.aggregate(
-            F.slice(items, i * BLOCK + 1, BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), inner,
-            lambda a: F.struct(a["state"].alias("state"), F.concat(acc["out"], a["out"]).alias("out")),
-        )
-
-    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int"))
-    end = lambda acc: F.concat(acc["out"], last(acc["state"])) if last else acc["out"]
-    return F.aggregate(numbers, F.struct(first.alias("state"), none.alias("out")), block, end)
 
 
 def found(text: Column, pattern: str, context: bool = False) -> Column:
@@ -41,13 +20,15 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
 
     Matches and the gaps between them, in turn, make up the text, so positions are running lengths.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     side = (lambda c, f: f(c, F.lit(SIDE))) if context else (lambda c, f: F.lit(""))
-    parts = F.zip_with(
-        values, F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0))),
-        lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")),
-    ) if context else F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"), F.lit("").alias("next")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def joined(gaps: Column) -> Column:
+        pairs = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        after = F.slice(gaps, F.lit(2), F.size(gaps)) if context else gaps
+        return F.zip_with(pairs, after, lambda x, n: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), n.alias("next")))
+
+    parts = bound(F.split(text, pattern, -1), joined)
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start = at + F.length(x["gap"])
@@ -83,7 +64,7 @@ def ordered(spans: Column, kinds: list[str], by_start: bool) -> Column:
     rank = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
     keys = lambda s: (s["start"], rank[s["kind"]]) if by_start else (rank[s["kind"]], s["start"])
     packed = F.array_sort(F.transform(spans, lambda s: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys(s))], s.alias("s"))))
-    return F.array_distinct(F.transform(packed, lambda x: x["s"]))
+    return bound(packed, lambda p: F.transform(F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))), lambda x: x["s"]))
 
 
 def digits(value: Column) -> Column:
