@@ -6,12 +6,13 @@ many documents each rule alone removes under it, need no second look at any text
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -53,27 +54,33 @@ def measured(text: str) -> tuple[int, ...]:
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measured(t.as_py() or "") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(MEASURES)))], names=["doc_id", *MEASURES])
+@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
+def measures(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measured(t or "") for t in texts], columns=MEASURES)
 
 
 def bits(names) -> int:
     return sum(1 << list(RULES).index(n) for n in names)
 
 
+def judged(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with the measures of each text and failed, the bits of the rules that it fails, under prefixed names."""
+    m = f"{prefix}measures"
+    rows = docs.withColumn(m, measures(F.col("text").cast("string")))
+    failed = F.lit(0).cast("long")
+    for k, rule in enumerate(RULES.values()):
+        told = F.expr(re.sub(r"\bn_\w+|\bword_chars\b", lambda x: f"{m}.{x.group()}", rule))
+        failed = failed.bitwiseOR(F.when(told, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return rows.withColumn(f"{prefix}failed", failed)
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measures and failed, the bits of the rules that a document fails; one row per document.
 
-    Null text: no words, so it fails too_few_words. Null ids and repeated rows keep rows of their own.
+    Null text: no words, so it fails too_few_words. Null ids and repeated rows keep rows of their own; very long
+    texts are measured whole; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    failed = F.lit(0).cast("long")
-    for k, rule in enumerate(RULES.values()):
-        failed = failed.bitwiseOR(F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return rows.withColumn("failed", failed)
+    return judged(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "measures.*", "failed")
 
 
 def passes(policy: str, failed: Column | None = None) -> Column:
@@ -93,26 +100,11 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
     ])).alias("x")).select("x.*")
 
 
-def _keep(policy: str):
-    mask = bits(POLICIES[policy])
-    at = {m: i for i, m in enumerate(MEASURES)}
-    # the same conditions as in RULES, compiled for rows that never leave the worker
-    tests = [compile(RULES[r], r, "eval") for r in POLICIES[policy]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            good = []
-            for t in texts:
-                m = measured(t.as_py() or "")
-                scope = {k: m[i] for k, i in at.items()}
-                good.append(not any(eval(test, {}, scope) for test in tests))  # noqa: S307  our own rule table
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    assert mask
-    return run
-
-
 def keep(docs: DataFrame, policy: str = "general-1") -> DataFrame:
-    """The documents that pass a policy, with all their columns; texts are read once and not shuffled."""
-    return docs.mapInArrow(_keep(policy), docs.schema)
+    """The documents that pass a policy, with all their columns; texts are read once and not shuffled.
+
+    Each row is measured and judged in the ledger's bits, then the policy's mask is applied. A null text has no
+    words; rows without an id and repeated rows are judged each; very long texts whole; columns of docs whose
+    names are those of the ledger keep their values; an empty table gives no rows.
+    """
+    return judged(docs, "__ledger_").filter(passes(policy, F.col("__ledger_failed"))).select(*[docs[c] for c in docs.columns])

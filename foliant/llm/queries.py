@@ -67,6 +67,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy removes, and what it alone removes."""
+    return quality.ablation(quality.ledger(read_table(spark, sf_dir, "documents")), "general-1")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffixes": op5_suffixes,
     "op6_html": op6_html,
     "op7_quality": op7_quality,
+    "op7_rule_ablation": op7_ablation,
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_paragraphs": op10_paragraphs,

@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is named (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="foliant-"))
+from ..stages import new_folder
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +14,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     again, and tells the planner its true size, by which it picks a broadcast or a shuffled join.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
