@@ -10,22 +10,27 @@ from foliant.llm.storage import read_table, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the policy; null and empty texts have no words and go; an empty table gives no rows."""
     return quality.keep(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group; repeated ids are one, rows without an id stay, ties go to the smallest id."""
     return simhash.keep_one(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced; null texts stay null, repeated rows are cleaned alike."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's rate says; a null source is one of its own, sources of no words give no rows."""
     return mixing.mix(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with token_ids of their whole texts; null: an empty list; a column of that name is replaced."""
     return bpe.encode(docs, *tokenizer())
 
 
