@@ -133,7 +133,9 @@ def _compare(edges: bool):
                     if before is not None:
                         match(before, row)
                     # of equal rows of one document, the next document need only meet one
-                    alike = [*([a for a in alike if a.right[:RIGHT] == row.right[:RIGHT]]), row]
+                    if alike and alike[-1].right[:RIGHT] != row.right[:RIGHT]:
+                        alike = []
+                    alike.append(row)  # all of them begin with the same RIGHT words
                 if len(out) >= 4000:
                     yield batch_of()
         if edges:
