@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neighbours, pages, paragraphs, pii, quality, secrets, simhash, suffixes
+from . import bpe, chat, mixing, neighbours, pages, paragraphs, phrases, pii, quality, repetition, secrets, simhash, suffixes
 from .storage import read_table
 
 
@@ -76,6 +76,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.run_report(read_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(hard)
+    return chat.read_back(chat.format_turns(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_paragraphs": op10_paragraphs,
+    "op11_collocations": op11_collocations,
+    "op12_runs": op12_runs,
+    "op13_chat": op13_chat,
 }
 
 SQL: dict[str, str] = {
@@ -117,5 +135,44 @@ select doc_id, size, source_size, target,
   (floor(rate)::bigint + case when ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0::double
      < rate - floor(rate) then 1 else 0 end)::bigint * size as taken
 from rated
+""",
+    "op11_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from words where len(w) > 0),
+grams as (
+  select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase, count(*) as f
+  from starts, (select unnest([1, 2, 3, 4]) as size) where i + size - 1 <= len(w) group by all),
+totals as (select lang, sum(f)::bigint as n from grams where size = 1 group by lang),
+often as (select * from grams where f >= 30),
+cand as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from often where size > 1),
+cuts as (select *, unnest(range(1, size)) as k from cand),
+scored as (
+  select c.lang, c.size, c.phrase, c.a, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+  from cuts c join often x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : k], ' ')
+    join often y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1 :], ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by score, k) = 1),
+inner_phrases as (
+  select lang, phrase, max(f) as most from (
+    select lang, a as f, array_to_string(w[i : i + m - 1], ' ') as phrase
+    from (select *, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from cand))) group by all),
+kept as (
+  select s.* from scored s left join inner_phrases p using (lang, phrase)
+  where most is null or 100::hugeint * most < 80::hugeint * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""",
+    "op13_chat": r"""
+with rows as (
+  select conv_id, turn, role, text from conversations
+  union all select -7, x, case x when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) t(x)),
+plain as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(role) + 2 + length(text) + len(regexp_extract_all(text, '### |</turn>')) + 9)::bigint as formatted_chars
+from plain group by conv_id
 """,
 }

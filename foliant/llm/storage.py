@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..stages import new_folder
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def saved(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Write df to the shared folder, in folders by the partition columns, and read it back.
 
     This cuts the lineage with files that outlive any executor, keeps later reads from computing df
     again, and tells the planner its true size, by which it picks a broadcast or a shuffled join.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
