@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import grams
-from ..stages import exists, settled
+from ..stages import exists, renamed, saved
 
 LENGTH, STRIDE = 1200, 1000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TERMS, CANDIDATES = 100, 200
+SEEDS = 2 * CANDIDATES
+PAGE_BITS = 10
+PAGE = 1 << PAGE_BITS
 
 
 def passages(chunks: DataFrame) -> DataFrame:
@@ -25,67 +31,172 @@ def passages(chunks: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter_id", "chunk_id", F.col("ordinal").alias("chunk_ordinal"), "offset", pid.alias("passage_id"), origin.alias("origin"), content.alias("content"))
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """book_id, chapter_id, passage_id, doc_len, terms of passages, computed once and kept: everything that search counts on."""
-    terms = rows.select("book_id", "chapter_id", "passage_id", grams(F.col("content")).alias("terms"))
-    return settled(terms.select("book_id", "chapter_id", "passage_id", F.size("terms").alias("doc_len"), "terms"))
+class Index(NamedTuple):
+    """A stored index. Passages have numbers; PAGE numbers in a row are a page, and a posting block lies within one.
+
+    passages: no, shelf, book_id, chapter_id, passage_id, doc_len, content, terms
+    blocks: space, term, page, shortest (least doc_len), offsets and lengths of the passages with the term
+    terms: space, term, df, shortest; totals: space, n_docs, avg_len
+    """
+
+    passages: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    scope: str | None
 
 
-def stored_index(chunks: DataFrame, root: str) -> DataFrame:
+def stored_index(chunks: DataFrame, root: str, scope: str | None = "book_id") -> Index:
     """The index of the passages of chunks below root; written only if no index of equal chunks is there.
 
-    The fingerprint is a count and a sum of hashes of all chunks, so it needs no order and no shuffle of texts.
+    scope: the column within which terms are counted and searched; None: one space for all. The
+    fingerprint is a count and a sum of hashes of all chunks, so it needs no order and no shuffle of texts.
+    An index is written under another name and renamed when it is whole, so readers never see a part of
+    one, and of two writers one wins. A term's postings lie in blocks of a page each, and blocks are dealt
+    by term and page: no task ever holds a whole common term.
     """
     spark = chunks.sparkSession
     mark = F.xxhash64("book_id", "chapter_id", "chunk_id", "ordinal", "content", "is_edited").cast("decimal(38,0)")
     n, total = chunks.agg(F.count("*"), F.sum(mark)).first()
-    path = f"{root}/index-{n}-{total or 0}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        rows = passages(chunks).select("book_id", "chapter_id", "passage_id", grams(F.col("content")).alias("terms"))
-        rows.select("book_id", "chapter_id", "passage_id", F.size("terms").alias("doc_len"), "terms").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def postings(indexed: DataFrame) -> DataFrame:
-    """book_id, chapter_id, passage_id, doc_len, term; terms are distinct within a passage, so each counts once."""
-    return indexed.select("book_id", "chapter_id", "passage_id", "doc_len", F.explode("terms").alias("term"))
-
-
-def index_stats(indexed: DataFrame, scope: str | None = "book_id") -> tuple[DataFrame, DataFrame]:
-    """(term, df per scope; n and average length per scope). scope None: one index over all books."""
-    keys = [scope] if scope else []
-    freq = postings(indexed).groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    return freq, indexed.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    path = f"{root}/index-{scope or 'all'}-{n}-{total or 0}"
+    if not exists(spark, path):
+        draft = f"{root}/draft-{uuid.uuid4().hex}"
+        _write_index(passages(chunks), draft, scope)
+        renamed(spark, draft, path)
+    return Index(*(spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in TABLES.items()), scope)
+
+
+TABLES = {
+    "passages": "no long, book_id string, chapter_id string, passage_id string, doc_len int, content string, terms array<string>, shelf long",
+    "blocks": "space string, term string, page long, shortest int, offsets array<int>, lengths array<int>",
+    "terms": "space string, term string, df long, shortest int",
+    "totals": "space string, n_docs long, avg_len double",
+}
+
+
+def _write_index(rows: DataFrame, path: str, scope: str | None) -> None:
+    read = lambda name: rows.sparkSession.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+    terms = grams(F.col("content"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("no"), "book_id", "chapter_id", "passage_id", F.size(terms).alias("doc_len"), "content", terms.alias("terms"))
+    numbered.withColumn("shelf", F.shiftright("no", 33)).write.partitionBy("shelf").parquet(f"{path}/passages")
+    space = F.col(scope) if scope else F.lit("")
+    posted = read("passages").select(space.alias("space"), "no", "doc_len", F.explode("terms").alias("term"))
+    at = F.struct((F.col("no") % PAGE).cast("int").alias("offset"), F.col("doc_len").alias("length"))
+    blocks = posted.groupBy("space", "term", F.shiftright("no", PAGE_BITS).alias("page")).agg(F.min("doc_len").alias("shortest"), F.array_sort(F.collect_list(at)).alias("x"))
+    blocks = blocks.select("space", "term", "page", "shortest", F.col("x.offset").alias("offsets"), F.col("x.length").alias("lengths"))
+    blocks.repartitionByRange("space", "term", "page").sortWithinPartitions("space", "term", "page").write.parquet(f"{path}/blocks")
+    counted = read("blocks").groupBy("space", "term").agg(F.sum(F.size("offsets")).alias("df"), F.min("shortest").alias("shortest"))
+    counted.write.parquet(f"{path}/terms")
+    totals = read("passages").groupBy(space.alias("space")).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    totals.write.parquet(f"{path}/totals")
+
+
+def index_stats(index: Index) -> tuple[DataFrame, DataFrame]:
+    """(space, term, df; space, n_docs, avg_len)."""
+    return index.terms.select("space", "term", "df"), index.totals
+
+
+def chapter_bitmaps(index: Index, sets: DataFrame) -> DataFrame:
+    """chapter_set, page, words of rows (chapter_set, chapter_id): a bit for each passage number of a page, 64 a word."""
+    rows = index.passages.select("chapter_id", "no").join(sets.select("chapter_set", "chapter_id").distinct(), "chapter_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("no") % 64).cast("int"))
+    word = F.shiftright("no", 6) % (PAGE // 64)
+    words = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(PAGE // 64)]
+    return rows.groupBy("chapter_set", F.shiftright("no", PAGE_BITS).alias("page")).agg(F.array(*words).alias("words"))
+
+
+def _part(length: Column) -> Column:
+    """What a term adds to the score of a passage of that many terms, but for its weight."""
+    return (K1 + 1) / (1 + K1 * (1 - B + B * length / F.col("avg_len")))
+
+
+def _weighed(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, space, chapter_set, term, df, idf, avg_len, bound (most that the term adds to a score), upto, seed.
+
+    upto: the bounds of this term and all lesser ones. seed: a term of large bound, as many as hold enough passages.
+    """
+    space = F.col(index.scope) if index.scope else F.lit("")
+    chapters = F.col("chapter_set") if "chapter_set" in queries.columns else F.lit(None).cast("string")
+    terms = queries.select("query_id", space.alias("space"), chapters.alias("chapter_set"), F.explode(F.slice(grams(F.col("query")), 1, TERMS)).alias("term"))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    rows = terms.join(index.terms, ["space", "term"]).join(index.totals, "space").withColumn("idf", idf)
+    rows = rows.withColumn("bound", F.col("idf") * _part(F.col("shortest")))
+    rising = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    falling = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    seed = F.coalesce(F.sum("df").over(falling), F.lit(0)) < F.when(F.col("chapter_set").isNull(), SEEDS).otherwise(SEEDS * 10)
+    return rows.select("query_id", "space", "chapter_set", "term", "df", "idf", "avg_len", "bound", F.sum("bound").over(rising).alias("upto"), seed.alias("seed"))
 
 
-def search(queries: DataFrame, indexed: DataFrame, rows: DataFrame, k: int = 4, scope: str | None = "book_id", chapters: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, passage_id, score, content of the k best distinct passages of each query.
+def _hits(blocks: DataFrame, bitmaps: DataFrame | None) -> DataFrame:
+    """query_id, page, offset, length, idf, avg_len of the postings of blocks that the query's chapters allow.
 
-    queries: query_id, query (and book_id if scoped). At most TERMS distinct terms match by OR; the best
-    CANDIDATES by BM25 (ties to the smaller passage_id) are made distinct by chapter and content. chapters
-    (query_id, chapter_id) restricts passages before ranking; frequencies stay global. Only postings of
-    asked terms are counted and scored; texts (rows) are met by the best candidates alone.
+    A bitmap is met by the blocks of its page, so no list of the chapters' passages is ever joined with postings.
     """
-    keys = [scope] if scope else []
-    terms = queries.select("query_id", *keys, F.explode(F.slice(grams(F.col("query")), 1, TERMS)).alias("term"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    terms = settled(terms)
-    asked = terms.select(*keys, "term").distinct()
-    posted = settled(postings(indexed).join(asked, [*keys, "term"], "left_semi"))
-    weighed = terms.join(posted.groupBy(*keys, "term").agg(F.count("*").alias("df")), [*keys, "term"])
-    totals = indexed.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    weighed = weighed.join(totals, keys) if keys else weighed.crossJoin(F.broadcast(totals))  # one row
-    hits = posted.join(weighed.select("query_id", *keys, "term", idf.alias("idf"), "avg_len"), [*keys, "term"])
-    if chapters is not None:
-        hits = hits.join(chapters, ["query_id", "chapter_id"], "left_semi")
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "book_id", "passage_id").agg(F.sum(part).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "passage_id")
-    top = scored.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= CANDIDATES)
-    top = top.join(rows.select("book_id", "passage_id", "chapter_id", "content"), ["book_id", "passage_id"])
-    same = Window.partitionBy("query_id", "book_id", "chapter_id", "content").orderBy("__n")
-    top = top.withColumn("__d", F.row_number().over(same)).filter("__d = 1")
-    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("__n"))).filter(F.col("rank") <= k)
+    if bitmaps is not None:
+        bits = bitmaps.select(F.col("chapter_set").cast("string").alias("set_of"), F.col("page").alias("page_of"), "words")
+        blocks = blocks.join(bits, (F.col("chapter_set") == F.col("set_of")) & (F.col("page") == F.col("page_of")), "left")
+        blocks = blocks.filter(F.col("chapter_set").isNull() | F.col("words").isNotNull())
+    rows = blocks.withColumn("x", F.explode(F.arrays_zip("offsets", "lengths")))
+    if bitmaps is not None:
+        offset = F.col("x.offsets")
+        allowed = F.getbit(F.get("words", F.shiftright(offset, 6)), offset % 64) == 1
+        rows = rows.filter(F.col("chapter_set").isNull() | allowed)
+    return rows.select("query_id", "space", "page", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("length"), "idf", "avg_len")
+
+
+def candidates(queries: DataFrame, index: Index, chapters: DataFrame | None = None) -> DataFrame:
+    """query_id, space, no of the passages that may be among a query's CANDIDATES best; all that are, and few others.
+
+    A lower bound of the score of the last of them (least) comes from the postings of a query's weightiest
+    terms. Terms whose bounds sum up to less cannot bring a passage in alone, so their postings, those of all
+    common words, are not read at all. Of the other terms' blocks, those of a page are skipped whose
+    best scores, with all that the unread terms could add, stay below it, and so are single passages in the rest.
+    """
+    weighed = saved(_weighed(queries, index), "search-terms")
+    bitmaps = saved(chapter_bitmaps(index, chapters), "search-bitmaps") if chapters is not None else None
+    keys = ["space", "term"]
+    mine = weighed.select("query_id", "chapter_set", *keys, "idf", "avg_len")
+    seeds = _hits(index.blocks.join(mine.join(weighed.filter("seed").select("query_id", "term"), ["query_id", "term"]), keys), bitmaps)
+    scored = seeds.groupBy("query_id", "page", "offset").agg(F.sum(F.col("idf") * _part(F.col("length"))).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    last = scored.withColumn("n", nth).filter(F.col("n") <= CANDIDATES).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    last = last.select("query_id", F.when(F.col("n") == CANDIDATES, F.col("least") - 1e-6).otherwise(0.0).alias("least"))
+    rows = weighed.join(last, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    rows = rows.withColumn("read", F.col("upto") >= F.col("least"))
+    unread = F.when(F.col("read"), 0.0)
+    over = Window.partitionBy("query_id")
+    rows = rows.withColumns({"rest": F.sum(unread.otherwise(F.col("bound"))).over(over), "rest_idf": F.sum(unread.otherwise(F.col("idf"))).over(over)})
+    rows = saved(rows.filter("read").select("query_id", "chapter_set", *keys, "idf", "avg_len", "least", "rest", "rest_idf"), "search-read")
+    heads = index.blocks.select(*keys, "page", "shortest").join(rows, keys)
+    alive = heads.groupBy("query_id", "page").agg((F.sum(F.col("idf") * _part(F.col("shortest"))) + F.max("rest")).alias("most"), F.max("least").alias("floor"))
+    hits = _hits(index.blocks.join(rows, keys).join(alive.filter("most >= floor").select("query_id", "page"), ["query_id", "page"]), bitmaps)
+    found = hits.groupBy("query_id", "space", "page", "offset", "length", "avg_len").agg(F.sum("idf").alias("idf"))
+    limits = rows.groupBy("query_id").agg(F.max("least").alias("least"), F.max("rest_idf").alias("rest_idf"))
+    found = found.join(limits, "query_id").filter((F.col("idf") + F.col("rest_idf")) * _part(F.col("length")) >= F.col("least"))
+    ids = found.select("query_id", "space", (F.shiftleft("page", PAGE_BITS) + F.col("offset")).alias("no"))
+    weights = weighed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"), F.max("avg_len").alias("avg_len"))
+    return ids.join(weights, "query_id")
+
+
+def search(queries: DataFrame, index: Index, k: int = 4, chapters: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, book_id, chapter_id, passage_id, score, content of the k best distinct passages of each query.
+
+    queries: query_id, query (the index's scope column too, and chapter_set if chapters are given). At most
+    TERMS distinct terms match by OR; the best CANDIDATES by BM25 (ties to the smaller passage_id) are made
+    distinct by chapter and content. chapters (chapter_set, chapter_id) names sets of chapters; a query sees
+    those of its chapter_set, all if it has none; frequencies stay global. Query ids are distinct.
+    """
+    wanted = saved(candidates(queries, index, chapters), "search-candidates")
+    wanted = wanted.withColumn("shelf", F.shiftright("no", 33)).filter("no >= 0")
+    scores = index.passages.select("shelf", "no", "book_id", "chapter_id", "passage_id", "doc_len", "terms").join(wanted, ["shelf", "no"])
+    score = F.aggregate(F.filter("terms", lambda t: F.map_contains_key("weights", t)), F.lit(0.0), lambda a, t: a + F.element_at("weights", t)) * _part(F.col("doc_len"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "passage_id", "no")
+    top = scores.withColumn("score", score).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= CANDIDATES)
+    top = saved(top.select("query_id", "shelf", "no", "score", "at"), "search-top").filter(F.col("at") <= CANDIDATES)
+    top = top.join(index.passages.select("shelf", "no", "book_id", "chapter_id", "passage_id", "content"), ["shelf", "no"])
+    same = Window.partitionBy("query_id", "book_id", "chapter_id", "content").orderBy("at")
+    top = top.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).filter(F.col("rank") <= k)
     return top.select("query_id", "rank", "book_id", "chapter_id", "passage_id", "score", "content")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import grams
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
+from ..stages import shared_folder
 from .base import query, table
 
 PASSAGES = """
@@ -35,18 +36,23 @@ firsts as (select * from ranked where n <= 200 qualify row_number() over (partit
 found as (select query_id, row_number() over (partition by query_id order by n) as rank, passage_id, round(score, 6) as score, content from firsts qualify rank <= 4)"""
 
 
-def _passages(spark, d):
-    docs = table(spark, d, "documents")
-    chunks = docs.select(
+def _chunks(spark, d):
+    return table(spark, d, "documents").select(
         F.md5(F.col("doc_id").cast("string").cast("binary")).alias("book_id"), F.concat(F.lit("c"), "doc_id").alias("chapter_id"),
         F.concat(F.lit("k"), "doc_id").alias("chunk_id"), F.lit(1).alias("ordinal"), F.col("text").alias("content"), F.lit(False).alias("is_edited"))
-    return rt.passages(chunks)
 
 
-def _search(spark, d, chapters=None):
-    rows = _passages(spark, d)
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rt.search(queries, rt.index(rows), rows, 4, None, chapters)
+def _passages(spark, d):
+    return rt.passages(_chunks(spark, d))
+
+
+def _index(spark, d):
+    """One index of all documents in the shared folder: the first query that asks writes it, the others find it."""
+    return rt.stored_index(_chunks(spark, d), f"{shared_folder(spark)}/indexes", None)
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("h1_passages", f'with {PASSAGES} select book_id, chapter_id, chunk_id, "offset", passage_id, origin from passages')
@@ -61,21 +67,21 @@ def h2(spark, d):
 
 @query("h3_build_index", f"with {INDEX} select term, df, n_docs, round(avg_len, 6) as avg_len from freq, totals")
 def h3(spark, d):
-    freq, totals = rt.index_stats(rt.index(_passages(spark, d)), None)
-    return freq.crossJoin(F.broadcast(totals)).select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))  # one row
+    freq, totals = rt.index_stats(_index(spark, d))
+    return freq.join(totals, "space").select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query("h4_search", f"with {_search_sql()} select query_id, rank, passage_id, score from found")
 def h4(spark, d):
-    return _search(spark, d).select("query_id", "rank", "passage_id", F.round("score", 6).alias("score"))
+    return rt.search(_queries(spark, d), _index(spark, d)).select("query_id", "rank", "passage_id", F.round("score", 6).alias("score"))
 
 
 @query("h5_search_chapters", f"with {_search_sql('where substr(chapter_id, 2)::bigint % 5 = query_id % 5')} select query_id, rank, passage_id, score from found")
 def h5(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("c"), "doc_id").alias("chapter_id"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    allowed = items.join(docs, F.col("query_id") % 5 == F.col("doc_id") % 5).select("query_id", "chapter_id")
-    return _search(spark, d, allowed).select("query_id", "rank", "passage_id", F.round("score", 6).alias("score"))
+    """Five sets of chapters, one for each query to search in."""
+    sets = table(spark, d, "documents").select((F.col("doc_id") % 5).alias("chapter_set"), F.concat(F.lit("c"), "doc_id").alias("chapter_id"))
+    queries = _queries(spark, d).withColumn("chapter_set", F.col("query_id") % 5)
+    return rt.search(queries, _index(spark, d), chapters=sets).select("query_id", "rank", "passage_id", F.round("score", 6).alias("score"))
 
 
 @query("h6_verify_evidence", f"""with {PASSAGES},
@@ -107,7 +113,7 @@ def l1(spark, d):
 def flagship(spark, d):
     """Passages of all documents, one index, the benchmark texts as queries, and how many are found again."""
     cases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"))
-    return ev.retrieval_hits_at_k(cases, _search(spark, d))
+    return ev.retrieval_hits_at_k(cases, rt.search(_queries(spark, d), _index(spark, d)))
 
 
 TRACE = """

@@ -91,4 +91,4 @@ def h3_stored(spark, d):
     rt.stored_index(chunks, root)
     again = rt.stored_index(chunks.repartition(3), root)
     where = F.regexp_extract(F.input_file_name(), "(index-[^/]*)/", 1)
-    return again.select(where.alias("folder")).agg(F.count("*").alias("n"), F.count_distinct("folder").cast("int").alias("indexes"))
+    return again.passages.select(where.alias("folder")).agg(F.count("*").alias("n"), F.count_distinct("folder").cast("int").alias("indexes"))

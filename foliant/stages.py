@@ -1,4 +1,4 @@
-"""Cutting the lineage of tables that loops build on."""
+"""Tables in the shared folder: what loops build on, and what is written once and found again."""
 
 from __future__ import annotations
 
@@ -25,17 +25,48 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder, so that plans of loops stay short and lost executors cost no more.
+def saved(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Write df to the shared folder, in folders by the partition columns, and read it back.
 
+    This cuts the lineage with files that outlive any executor, keeps later reads from computing df
+    again, and tells the planner its true size, by which it picks a broadcast or a shuffled join.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, name)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a table, so that plans of loops stay short and lost executors cost no more."""
+    return saved(df, "settled")
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete saved tables from which nothing is computed any more."""
+    for df in tables:
+        store, where = _store(df.sparkSession, df._saved_at)
+        store.delete(where, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a folder its final name in one step; if that name is taken, delete the folder and say False."""
+    store, where = _store(spark, old)
+    target = _store(spark, new)[1]
+    if not store.exists(target) and store.rename(where, target) and not store.exists(_store(spark, f"{new}/{where.getName()}")[1]):
+        return True
+    store.delete(where, True)
+    store.delete(_store(spark, f"{new}/{where.getName()}")[1], True)  # where a rename moves into a folder that came first
+    return False
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    store, where = _store(spark, path)
+    return store.exists(where)

@@ -1,22 +1,33 @@
 """Golden cases of retrieval, evidence and the knowledge graph."""
 
+import math
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import evaluation as ev
 from foliant.operators import knowledge as kn
 from foliant.operators import retrieval as rt
-from foliant.stages import settled
+from foliant.stages import settled, shared_folder
 
 CHUNK = "book_id string, chapter_id string, chunk_id string, ordinal int, content string, is_edited boolean"
 
 
+def chunked(spark, *texts, edited=False):
+    return spark.createDataFrame([("b", f"c{i}", f"k{i}", i, x, edited) for i, x in enumerate(texts)], CHUNK)
+
+
 def passages(spark, *texts, edited=False):
-    return rt.passages(spark.createDataFrame([("b", f"c{i}", f"k{i}", i, x, edited) for i, x in enumerate(texts)], CHUNK))
+    return rt.passages(chunked(spark, *texts, edited=edited))
 
 
-def find(spark, rows, query, k=4, chapters=None):
-    queries = spark.createDataFrame([("q", "b", query)], "query_id string, book_id string, query string")
-    return [r.chapter_id for r in rt.search(queries, rt.index(rows), rows, k, "book_id", chapters).orderBy("rank").collect()]
+def find(spark, chunks, query, k=4, chapters=None):
+    queries = spark.createDataFrame([("q", "b", query, "s")], "query_id string, book_id string, query string, chapter_set string")
+    index = rt.stored_index(chunks, shared_folder(spark))
+    return [r.chapter_id for r in rt.search(queries, index, k, chapters).orderBy("rank").collect()] if chapters else [
+        r.chapter_id for r in rt.search(queries.drop("chapter_set"), index, k).orderBy("rank").collect()]
 
 
 def test_passages_overlap_and_keep_the_tail(spark):
@@ -25,16 +36,73 @@ def test_passages_overlap_and_keep_the_tail(spark):
 
 
 def test_search_ranks_and_restricts(spark):
-    rows = passages(spark, "林舟回到故乡。", "阿舟离开了山城。", "林舟与阿舟在雨夜重逢，林舟沉默。", "完全无关")
+    rows = chunked(spark, "林舟回到故乡。", "阿舟离开了山城。", "林舟与阿舟在雨夜重逢，林舟沉默。", "完全无关")
     assert find(spark, rows, "林舟")[0] == "c0" and set(find(spark, rows, "林舟")) == {"c0", "c2"}
-    only = spark.createDataFrame([("q", "c2")], "query_id string, chapter_id string")
+    only = spark.createDataFrame([("s", "c2"), ("other", "c0")], "chapter_set string, chapter_id string")
     assert find(spark, rows, "林舟", chapters=only) == ["c2"]
     assert find(spark, rows, "缺席") == []
 
 
 def test_equal_contents_of_a_chapter_are_one_hit(spark):
-    rows = rt.passages(spark.createDataFrame([("b", "c", f"k{i}", i, "same words", False) for i in range(5)], CHUNK))
+    rows = spark.createDataFrame([("b", "c", f"k{i}", i, "same words", False) for i in range(5)], CHUNK)
     assert find(spark, rows, "same") == ["c"]
+    assert find(spark, rows.limit(0), "same") == []
+
+
+def bm25(texts, query, allowed):
+    """The ranked numbers of texts by the formula, over all of them."""
+    sets = [set(re.findall(r"[a-z0-9_]+", t.lower())) for t in texts]
+    avg, scores = sum(map(len, sets)) / len(sets), {}
+    for t in dict.fromkeys(re.findall(r"[a-z0-9_]+", query.lower())):
+        df = sum(t in s for s in sets)
+        idf = max(1e-6, math.log((len(sets) - df + 0.5) / (df + 0.5))) if df else 0
+        for i in allowed:
+            if t in sets[i]:
+                scores[i] = scores.get(i, 0) + idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(sets[i]) / avg))
+    return {i: round(x, 9) for i, x in scores.items()}
+
+
+@pytest.mark.parametrize("page_bits, wanted", [(6, 6), (6, 40), (7, 12)])
+def test_search_equals_brute_force(spark, monkeypatch, page_bits, wanted):
+    """Hot words, rare words, unlike lengths; few candidates and small pages, so that terms, pages and passages are skipped."""
+    monkeypatch.setattr(rt, "PAGE_BITS", page_bits)
+    monkeypatch.setattr(rt, "PAGE", 1 << rt.PAGE_BITS)
+    monkeypatch.setattr(rt, "CANDIDATES", wanted)
+    monkeypatch.setattr(rt, "SEEDS", 2 * wanted)
+    rng = random.Random(page_bits * 100 + wanted)
+    words = ["the", "of"] * 20 + [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    texts = [" ".join(["the", *rng.choices(words, k=rng.choice([3, 20, 60]))]) for _ in range(500)]
+    chunks = spark.createDataFrame([(f"b{i % 3}", f"c{i}", f"k{i}", 0, t, False) for i, t in enumerate(texts)], CHUNK).repartition(3)
+    asked = [" ".join(rng.choices(words, k=8)) for _ in range(8)] + ["the", "the of", "missing", ""]
+    sets = spark.createDataFrame([(i % 2, f"c{i}") for i in range(500)], "chapter_set int, chapter_id string")
+    root = f"{shared_folder(spark)}/brute-{page_bits}-{wanted}"
+    for scope in (None, "book_id"):
+        index = rt.stored_index(chunks, root, scope)
+        rows = [(n, q, f"b{n % 3}", [None, 0, 1][n % 3]) for n, q in enumerate(asked)]
+        queries = spark.createDataFrame(rows, "query_id int, query string, book_id string, chapter_set int")
+        got = {}
+        for r in rt.search(queries, index, wanted, sets).collect():
+            got.setdefault(r.query_id, []).append((r.rank, int(r.chapter_id[1:]), round(r.score, 9)))
+        for n, q, book, chosen in rows:
+            mine = [i for i in range(500) if scope is None or f"b{i % 3}" == book]
+            part = [texts[i] for i in mine]
+            scores = bm25(part, q, [j for j, i in enumerate(mine) if chosen is None or i % 2 == chosen])
+            scores = {mine[j]: x for j, x in scores.items()}
+            best = sorted(scores.values(), reverse=True)[:wanted]
+            found = sorted(got.get(n, []))
+            assert [x for _, _, x in found] == pytest.approx(best, abs=2e-9), (scope, q)
+            assert all(scores[i] == pytest.approx(x, abs=2e-9) for _, i, x in found)
+
+
+def test_common_words_are_not_read(spark):
+    """A word of every text adds next to nothing: its postings bring no candidate."""
+    texts = [f"the and {'rare' if i % 3 == 0 else 'plain'} t{i}" for i in range(900)]
+    chunks = spark.createDataFrame([("b", f"c{i}", f"k{i}", 0, t, False) for i, t in enumerate(texts)], CHUNK)
+    queries = spark.createDataFrame([("q", "the and rare t3 t6")], "query_id string, query string")
+    index = rt.stored_index(chunks, f"{shared_folder(spark)}/common", None)
+    found = rt.candidates(queries, index).count()
+    assert 200 <= found <= 300
+    assert rt.stored_index(chunks.repartition(5), f"{shared_folder(spark)}/common", None).passages.inputFiles() == index.passages.inputFiles()
 
 
 def test_evidence(spark):
