@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,53 +20,71 @@ from .structure import slice_text
 MARKS = "。！？；.!?;"
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 MAX_EDIT = 1_000_000
+SENT = 1 << 20  # characters of windows that a task hands on at once
 
 
-def cuts(text: str, max_tokens: int, overlap: int, blank: bool = True) -> list[tuple[int, int]]:
+def windows(text: str, max_tokens: int, overlap: int, blank: bool = True) -> Iterator[tuple[int, int]]:
     """Windows of at most max_tokens: each but the last ends at the right-most natural boundary of its last
     two fifths (before a newline, after a mark), and the next begins so that it repeats at most overlap tokens.
-    Unless blank, they stop before a window without tokens."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    begins, ends = [a for a, _ in spans], [b for _, b in spans]
-    out, start, n = [], 0, len(text)
+    Unless blank, they stop before a window without tokens. Besides the text they need 16 bytes a token."""
+    begins, ends = array("q"), array("q")
+    for m in _TOKEN.finditer(text):
+        begins.append(m.start())
+        ends.append(m.end())
+    start, n = 0, len(text)
     while start < n:
         first = bisect_left(begins, start)
-        safe = n if first + max_tokens >= len(spans) else max(begins[first + max_tokens], start + 1)
+        safe = n if first + max_tokens >= len(begins) else max(begins[first + max_tokens], start + 1)
         end = safe
         if safe < n:
             low = start + int((safe - start) * 0.6)
-            best = max(text.rfind("\n\n", low, safe), text.rfind("\n", low, safe), *(text.rfind(m, low, safe) + 1 or -1 for m in MARKS))
+            best = max(text.rfind("\n", low, safe), *(text.rfind(m, low, safe) + 1 or -1 for m in MARKS))
             end = best if best > start else safe
         if not blank and (first >= len(begins) or begins[first] >= end):
             break
-        out.append((start, end))
+        yield start, end
         if end >= n:
             break
         kept = bisect_right(ends, end) - overlap - 1
         start = max(start + 1, end if overlap == 0 else ends[kept] if kept >= 0 else 0)
-    return out
+
+
+def cuts(text: str, max_tokens: int, overlap: int, blank: bool = True) -> list[tuple[int, int]]:
+    return list(windows(text, max_tokens, overlap, blank))
 
 
 def cut_text(rows: DataFrame, text: str, max_tokens: str, overlap: int, blank: bool = True) -> DataFrame:
-    """rows with part, part_start, part_end for every window of a text column, offsets within that text.
+    """A row for every window of a text column: the other columns, part, part_start, part_end and piece, its slice.
 
     Windows of one text follow from each other, so a text is one row of work; texts spread over all tasks.
+    Windows leave as they are found, some SENT characters at once, and never carry the text they come from.
     """
-    fields = [f for f in rows.schema.fields if f.name != text]
+    fields = [f for f in rows.schema.fields if f.name not in (text, max_tokens)]
     kept = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [cuts(t or "", int(m), overlap, blank) for t, m in zip(batch[text], batch[max_tokens])]
-            out = batch.loc[batch.index.repeat([len(w) for w in windows]), kept].reset_index(drop=True)
-            flat = [(i, a, b) for w in windows for i, (a, b) in enumerate(w)]
-            out["part"] = [x[0] for x in flat]
-            out["part_start"] = [x[1] for x in flat]
-            out["part_end"] = [x[2] for x in flat]
-            yield out
+            rest, found, size = batch.select(kept), [], 0
+
+            def made() -> pa.RecordBatch:
+                row, part, start, end, piece = zip(*found)
+                own = rest.take(pa.array(row, pa.int64()))
+                new = [pa.array(part, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(piece, pa.string())]
+                return pa.RecordBatch.from_arrays([*own.columns, *new], names=[*kept, "part", "part_start", "part_end", "piece"])
+
+            for i, (t, most) in enumerate(zip(batch.column(text), batch.column(max_tokens).to_pylist())):
+                whole = t.as_py() or ""
+                for part, (a, b) in enumerate(windows(whole, int(most), overlap, blank)):
+                    found.append((i, part, a, b, whole[a:b]))
+                    size += b - a
+                    if size > SENT:
+                        yield made()
+                        found, size = [], 0
+            if found:
+                yield made()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInPandas(run, f"{schema}, part bigint, part_start bigint, part_end bigint")
+    return rows.mapInArrow(run, f"{schema}, part bigint, part_start bigint, part_end bigint, piece string")
 
 
 def _described(chunks: DataFrame, counter: str, overlap: bool = True) -> DataFrame:
@@ -89,11 +108,10 @@ def chunk_chapters(chapters: DataFrame, books: DataFrame, max_tokens: int = 6000
         "book_id", "chapter_id", "content_start", slice_text(F.col("text"), F.col("content_start"), F.col("content_end")).alias("body"),
         F.lit(max_tokens).alias("most"),
     )
-    parts = cut_text(rows.withColumn("content", F.col("body")), "body", "most", overlap, blank=False)
-    content = slice_text(F.col("content"), F.col("part_start"), F.col("part_end"))
+    parts = cut_text(rows, "body", "most", overlap, blank=False)
     parts = parts.select(
         "book_id", "chapter_id", (F.col("content_start") + F.col("part_start")).alias("start_char"),
-        (F.col("content_start") + F.col("part_end")).alias("end_char"), content.alias("content"),
+        (F.col("content_start") + F.col("part_end")).alias("end_char"), F.col("piece").alias("content"),
     )
     return _described(parts, "regex")
 

@@ -9,7 +9,6 @@ from ..functions.arrays import folded
 from ..functions.text import SPACE, content_fingerprint, stable_id
 from ..functions.tokens import token_count
 from .chunks import cut_text
-from .structure import slice_text
 
 SEAM = 16  # tokens that each further item of a merge request costs
 
@@ -59,11 +58,10 @@ def plan_segments(bodies: DataFrame, limit: int, counter: str = "regex") -> tupl
     rows = rows.withColumns({"__fits": token_count(whole, counter) <= limit, "__room": room})
     errors = rows.filter("not __fits and __room < 1").select("book_id", "chapter_id", F.lit("title_exceeds_budget").alias("reason"))
     short = rows.filter("__fits").withColumns({"part_ordinal": F.lit(1).cast("bigint"), "part_count": F.lit(1).cast("bigint"), "content": whole})
-    long = cut_text(rows.filter("not __fits and __room >= 1").withColumn("__text", F.col("body")), "__text", "__room", 0)
-    part = slice_text(F.col("body"), F.col("part_start"), F.col("part_end"))
+    long = cut_text(rows.filter("not __fits and __room >= 1").drop("__fits"), "body", "__room", 0)
     long = long.withColumns({
         "part_ordinal": F.col("part") + 1, "part_count": F.count("*").over(Window.partitionBy("book_id", "chapter_id")),
-        "content": F.concat(head, F.lit(" · 片段 "), (F.col("part") + 1).cast("string"), F.lit("】\n"), part),
+        "content": F.concat(head, F.lit(" · 片段 "), (F.col("part") + 1).cast("string"), F.lit("】\n"), F.col("piece")),
     })
     columns = ["book_id", "chapter_id", "ordinal", "title", "chunk_ids", "contains_edits", "part_ordinal", "part_count", "content"]
     segments = short.select(columns).unionByName(long.select(columns))

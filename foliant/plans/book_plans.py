@@ -124,7 +124,36 @@ def c10(spark, d):
     return st.document_manifest(books, rows)
 
 
-@query("d2_chunk_chapters")
+CHUNKED = f""",
+told as (
+  select book_id, chapter_id, content_start, content as body, length(content) as n, regexp_extract_all(content, '{PIECE}') as pieces, regexp_extract_all(content, '{TOKEN}') as words from chapters),
+marked as (select *, list_transform(range(1, len(pieces) + 1), lambda i: length(array_to_string(pieces[1:i], ''))) as ends from told),
+spread as (select *, list_transform(range(1, len(pieces) + 1), lambda i: ends[i] - length(words[i])) as begins from marked),
+cut as (
+  with recursive c as (
+    select book_id, chapter_id, -1::bigint as part, 0::bigint as start, 0::bigint as stop, 0::bigint as following from spread
+    union all
+    select book_id, chapter_id, part + 1, start, stop, greatest(start + 1, coalesce(ends[case when ended > 30 then ended - 30 end], 0))::bigint
+    from (select *, len(list_filter(ends, lambda e: e <= stop)) as ended from (
+      select *, case when safe = n or last = 0 or mark_end <= start then safe else mark_end end as stop from (
+        select *, low + last - case when substr(span, last, 1) = chr(10) then 1 else 0 end as mark_end from (
+          select *, length(regexp_extract(span, '(?s)^.*[\n。！？；.!?;]')) as last from (select *, substr(body, low + 1, safe - low) as span from (
+            select *, start + floor((safe - start)::double * 0.6::double)::bigint as low from (
+              select book_id, chapter_id, part, start, n, body, begins, ends, begun,
+                case when begun + 200 >= len(begins) then n else greatest(begins[begun + 201], start + 1) end as safe
+              from (select c.book_id, c.chapter_id, c.part, c.following as start, s.n, s.body, s.begins, s.ends, len(list_filter(s.begins, lambda b: b < c.following)) as begun
+                from c join spread s using (book_id, chapter_id) where c.following < s.n and c.stop < s.n))))))))
+    where begins[begun + 1] < stop)
+  select * from c where part >= 0),
+chunks as (
+  select book_id, chapter_id, part + 1 as ordinal, content_start + start as start_char, content_start + stop as end_char, substr(body, start + 1, stop - start) as content,
+    lag(stop) over (partition by book_id, chapter_id order by start) - start as shared
+  from cut join spread using (book_id, chapter_id))"""
+
+
+@query("d2_chunk_chapters", f"""with {PARSED}{CHAPTERS}{CHUNKED}
+select book_id, chapter_id, ordinal, start_char, end_char, {stable_id('chunk', 'book_id', 'chapter_id', 'start_char', 'end_char', "'regex'")} as chunk_id, {stable_id('cite', 'book_id', 'start_char', 'end_char')} as citation_id,
+  {tokens('content')} as token_count, end_char - start_char as character_count, case when shared > 0 then {tokens('substr(content, 1, shared)')} else 0 end as overlap_tokens, {preview('content', 120)} as preview from chunks""")
 def d2(spark, d):
     books, rows = _chapters(spark, d)
     return ch.chunk_chapters(rows, books, 200, 30)

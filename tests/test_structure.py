@@ -1,5 +1,7 @@
 """Golden cases of headings, chapters, volumes, chunks and bodies."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,18 @@ def test_chunks_are_slices_within_limits_and_rebuild_the_text(spark):
         assert rebuilt.first().body == text
 
 
+def test_windows_of_a_long_chapter_leave_one_by_one(spark):
+    """A million tokens in thousands of windows: the text goes with none of them."""
+    one = spark.range(1).select(F.lit("b").alias("book_id"), F.lit("c").alias("chapter_id"), F.lit(0).alias("content_start"), F.expr("repeat('word. ', 500000)").alias("text"))
+    one = one.withColumn("content_end", F.length("text"))
+    began = time.perf_counter()
+    got = ch.chunk_chapters(one.drop("text"), one.select("book_id", "text"), 300, 20).agg(F.count("*").alias("n"), F.max("end_char").alias("end"), F.max("token_count").alias("most")).first()
+    assert (got.n, got.end, got.most) == (3572, 3_000_000, 300) and time.perf_counter() - began < 60
+    parts = ch.cut_text(one.select("chapter_id", "text", F.lit(1000).alias("most"), F.array(F.lit("k")).alias("chunk_ids")), "text", "most", 0)
+    assert parts.columns == ["chapter_id", "chunk_ids", "part", "part_start", "part_end", "piece"]
+    assert parts.agg(F.sum(F.length("piece"))).first()[0] == 3_000_000
+
+
 def test_cut_before_newline_and_after_mark():
     assert ch.cuts("aa bb cc\ndd ee ff", 4, 0)[0] == (0, 8)
     assert ch.cuts("aa bb cc。 dd ee ff", 5, 0)[0] == (0, 9)
