@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import folded
 from ..functions.text import SPACE, content_fingerprint, stable_id
 from ..functions.tokens import token_count
+from ..stages import saved
 from .chunks import cut_text
 
+BLOCK = 8192  # items of a key that one task follows at once
 SEAM = 16  # tokens that each further item of a merge request costs
 
 
@@ -24,26 +29,96 @@ def derive_budget(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def next_fit(items: DataFrame, key: str, pos: str, size: str, limit: Column, first: int = 0, seam: int = 0) -> DataFrame:
+def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of key, block, n as tables that end where a block does."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cut = int(_begins(rows)[-1])  # the last block may go on
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held = rows.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where blocks begin: numbers go up by one within a block."""
+    n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((n[1:] != n[:-1] + 1) | (block[1:] != block[:-1])) + 1])
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beside each row the first group start outside its block that follows from it, and the starts up to there."""
+    for rows in _segments_of(batches):
+        begins = _begins(rows)
+        ends = np.repeat(np.append(begins[1:], len(rows)), np.diff(np.append(begins, len(rows)))).tolist()
+        n, following = rows["n"].to_pylist(), rows["following"].to_pylist()
+        out, hops = following[:], [1] * len(n)
+        for i in range(len(n) - 1, -1, -1):
+            j = len(n) if following[i] is None else i + following[i] - n[i]
+            if j < ends[i]:
+                out[i], hops[i] = out[j], hops[j] + 1
+        yield from rows.append_column("out", pa.array(out, pa.int64())).append_column("hops", pa.array(hops, pa.int64())).to_batches()
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The group starts that follow from the rows with an ordinal within their block, numbered on."""
+    for rows in _segments_of(batches):
+        n, following, number = (rows[c].to_pylist() for c in ("n", "following", "number"))
+        for i, at in enumerate(number):
+            j = len(n) if at is None or following[i] is None else i + following[i] - n[i]
+            if j < len(n) and n[j] == following[i]:
+                number[j] = at + 1
+        some = [i for i, x in enumerate(number) if x is not None]
+        found = rows.take(pa.array(some, pa.int64()))
+        yield from found.set_column(found.schema.get_field_index("number"), "number", pa.array([number[i] for i in some], pa.int64())).to_batches()
+
+
+def next_fit(items: DataFrame, key: str, pos: str, size: str, limit: int, first: int = 0, seam: int = 0) -> DataFrame:
     """key, pos, group (from 1): adjacent items packed in order, a new group where the next would exceed the limit.
 
-    Only positions and sizes are gathered per key; `first` is what an empty group costs, `seam` what
-    each item after a group's first does.
+    `first` is what an empty group costs, `seam` what each item after a group's first does; sizes are not negative.
+    The item that begins the next group, if an item began one, is the first whose prefix sum exceeds the
+    item's own by the limit: items and the sums looked for are dealt by ranges of the limit's width, so a
+    range holds about a group. Which items do begin one follows from these pointers. Within BLOCK items they are
+    followed directly, from block to block by doubling, so a key of any length is never one row or one array.
     """
-    xs = items.select(F.col(key).alias("key"), F.struct(F.col(pos).alias("pos"), F.col(size).cast("bigint").alias("size"), limit.cast("bigint").alias("most")).alias("x"))
-    xs = xs.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def step(acc: Column, x: Column) -> tuple[Column, Column]:
-        more = acc["used"] + F.lit(seam) + x["size"]
-        fits = (acc["group"] > 0) & (more <= x["most"])
-        group = F.when(fits, acc["group"]).otherwise(acc["group"] + 1)
-        state = F.struct(group.alias("group"), F.when(fits, more).otherwise(F.lit(first) + x["size"]).cast("bigint").alias("used"))
-        return state, F.array(F.struct(x["pos"].alias("pos"), group.alias("group")))
-
-    kind = items.select(pos).schema[0].dataType.simpleString()
-    zero = F.struct(F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("used"))
-    out = xs.select("key", F.explode(folded(F.col("xs"), zero, F.array().cast(f"array<struct<pos:{kind},group:int>>"), step)).alias("o"))
-    return out.select(F.col("key").alias(key), F.col("o.pos").alias(pos), F.col("o.group").alias("group"))
+    mine = Window.partitionBy("key")
+    rows = items.select(F.col(key).alias("key"), F.col(pos).alias("pos"), F.col(size).cast("bigint").alias("size"))
+    rows = rows.withColumn("n", F.row_number().over(mine.orderBy("pos")).cast("bigint")).withColumn("upto", F.sum(F.col("size") + seam).over(mine.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = saved(rows, "pack-items")
+    width = max(1, limit)
+    sums = rows.select("key", "n", F.col("upto").alias("value"), F.lit(1).alias("kind"))
+    asked = rows.select("key", "n", (F.lit(limit - first) - F.col("size") + F.col("upto")).alias("value"), F.lit(0).alias("kind"))
+    both = sums.unionByName(asked).withColumn("range", F.expr(f"value div {width}"))
+    item = F.when(F.col("kind") == 1, F.col("n"))
+    above = Window.partitionBy("key", "range").orderBy(F.desc("value"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("key").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy("key", "range").agg(F.min(item).alias("least"), F.max(item).alias("last"))
+    firsts = firsts.select("key", "range", F.min("least").over(later).alias("least"), F.max("last").over(mine).alias("last"))
+    linked = both.withColumn("found", F.min(item).over(above)).filter("kind = 0").join(firsts, ["key", "range"])
+    to = F.coalesce("found", "least")
+    to = F.when(to.isNotNull() & (F.col("n") < F.col("last")), F.greatest(to, F.col("n") + 1))
+    linked = linked.select("key", F.expr(f"(n - 1) div {BLOCK}").alias("block"), "n", to.alias("following"), "last")
+    in_order = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "n")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in linked.schema)
+    linked = saved(in_order(linked).mapInArrow(_exits, f"{kind}, out bigint, hops bigint"), "pack-links")
+    entries = linked.filter("n = 1").select("key", "n", F.lit(1).cast("bigint").alias("number"))
+    jumps = linked.filter("out is not null").select("key", "n", "out", "hops")
+    while True:
+        more = saved(entries.join(jumps, ["key", "n"]).select("key", F.col("out").alias("n"), (F.col("number") + F.col("hops")).alias("number")), "pack-entries")
+        if more.isEmpty():
+            break
+        entries = entries.unionByName(more)
+        on = jumps.select("key", F.col("n").alias("out"), F.col("out").alias("further"), F.col("hops").alias("more"))
+        jumps = saved(jumps.join(on, ["key", "out"]).select("key", "n", F.col("further").alias("out"), (F.col("hops") + F.col("more")).alias("hops")), "pack-jumps")
+    begun = in_order(linked.drop("out", "hops").join(entries, ["key", "n"], "left").select("key", "block", "n", "following", "last", "number")).mapInArrow(_walked, f"{kind}, number bigint")
+    members = F.explode(F.sequence(F.col("n"), F.coalesce(F.col("following") - 1, F.col("last"))))
+    groups = begun.select("key", members.alias("n"), F.col("number").cast("int").alias("group"))
+    return rows.join(groups, ["key", "n"]).select(F.col("key").alias(key), F.col("pos").alias(pos), "group")
 
 
 def plan_segments(bodies: DataFrame, limit: int, counter: str = "regex") -> tuple[DataFrame, DataFrame]:
@@ -74,7 +149,7 @@ def pack_batches(segments: DataFrame, limit: int) -> DataFrame:
     """segments with pos (their order in the book) and batch_no; texts stay out of the packing."""
     order = Window.partitionBy("book_id").orderBy("ordinal", "part_ordinal")
     rows = segments.withColumn("pos", F.row_number().over(order))
-    groups = next_fit(rows, "book_id", "pos", "token_count", F.lit(limit)).withColumnRenamed("group", "batch_no")
+    groups = next_fit(rows, "book_id", "pos", "token_count", limit).withColumnRenamed("group", "batch_no")
     return rows.join(groups, ["book_id", "pos"])
 
 

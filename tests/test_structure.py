@@ -1,5 +1,6 @@
 """Golden cases of headings, chapters, volumes, chunks and bodies."""
 
+import random
 import time
 
 import pytest
@@ -161,13 +162,33 @@ def test_file_names(spark):
     assert got == ["山海_卷-全书细纲.html", "outline-全书细纲.html"]
 
 
+@pytest.mark.parametrize("block, limit, first, seam", [(8192, 20, 0, 0), (4, 20, 3, 2), (1, 9, 0, 1), (7, 0, 0, 0), (3, 100, 5, 0)])
+def test_next_fit_equals_the_fold(spark, monkeypatch, block, limit, first, seam):
+    """Books of unlike lengths, items of size 0 and above the limit; blocks of a few items, so that pointers are doubled."""
+    monkeypatch.setattr(pl, "BLOCK", block)
+    rng = random.Random(limit)
+    sizes = {f"b{k}": [rng.choice([0, 0, 1, 2, 5, 8, 30]) for _ in range(n)] for k, n in enumerate([1, 2, 7, 40, 150])}
+    rows = [(b, 10 * i, x) for b, xs in sizes.items() for i, x in enumerate(xs)]
+    want = {}
+    for b, xs in sizes.items():
+        group = used = 0
+        for i, x in enumerate(xs):
+            if group and used + seam + x <= limit:
+                used += seam + x
+            else:
+                group, used = group + 1, first + x
+            want[b, 10 * i] = group
+    items = spark.createDataFrame(rows, "book_id string, pos int, size int").repartition(3)
+    assert {(r.book_id, r.pos): r.group for r in pl.next_fit(items, "book_id", "pos", "size", limit, first, seam).collect()} == want
+
+
 def test_folds_are_linear(spark):
     from pyspark.sql import functions as F
 
     from foliant.operators.planning import next_fit
 
     items = spark.range(200_000).select(F.lit("b").alias("book_id"), F.col("id").alias("pos"), F.lit(3).alias("size"))
-    groups = next_fit(items, "book_id", "pos", "size", F.lit(10))
+    groups = next_fit(items, "book_id", "pos", "size", 10)
     assert groups.agg(F.max("group"), F.count("*")).first()[:2] == (66_667, 200_000)
     books = spark.range(1).select(F.lit("b").alias("book_id"), F.expr("repeat('word ', 1000000)").alias("text"))
     chapters = books.select("book_id", F.lit("c").alias("chapter_id"), F.lit(0).alias("content_start"), F.length("text").alias("content_end"))
