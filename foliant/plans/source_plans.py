@@ -32,6 +32,20 @@ def a1(spark, d):
     return accepted.select(_doc_id(), "size_bytes")
 
 
+@query("a1_rejected_files", f"""
+select doc_id, reason, n from (
+  select doc_id, case when lang = 'fr' then 'wrong_suffix' when strlen({BODY}) > 4000 then 'too_large' end as reason, case when lang <> 'fr' then strlen({BODY}) end as n from documents)
+where reason is not null""")
+def a1_rejected(spark, d):
+    """Texts above a limit, and those of one language that lie there compressed, are on record with the reason."""
+    folder = new_folder(spark, "mixed")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("value"))
+    rows.filter("lang <> 'fr'").select("doc_id", "value").write.partitionBy("doc_id").text(folder)
+    rows.filter("lang = 'fr'").select("doc_id", "value").write.mode("append").option("compression", "gzip").partitionBy("doc_id").text(folder)
+    _, rejected = corpus.read_txt_corpus(spark, folder, max_bytes=4000)
+    return rejected.select(_doc_id(), "reason", F.when(F.col("reason") == "too_large", F.col("size_bytes")).alias("n"))
+
+
 @query("a2_decode_text", rf"""
 select doc_id, 'utf-8' as encoding, length(x) as character_count, md5(x) as digest from (select doc_id, regexp_replace({BODY}, '\r\n?', chr(10), 'g') as x from documents)
 where regexp_matches(x, '[^{SPACE}]') and length(regexp_replace(x, '[^\x00-\x08\x0B-\x1F]', '', 'g')) <= greatest(5, length(x) // 100)""")

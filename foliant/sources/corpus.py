@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from datetime import timedelta
-from urllib.parse import unquote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, is_readable, normalize_newlines
-from ..stages import exists, settled
+from ..stages import hadoop_path, saved
+from .listing import files, with_contents
 
 MAX_BYTES = 50 * 1024 * 1024
 CASCADE = ("gb18030", "big5")
@@ -24,7 +28,7 @@ def judged(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     media = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     reason = (
-        F.when(media != "txt", "wrong_suffix").when(F.length(name) > 255, "name_too_long")
+        F.when(media != "txt", "wrong_suffix").when(F.col("length") == 0, "empty").when(F.length(name) > 255, "name_too_long")
         .when(name.rlike(r"[\x00-\x1F]"), "bad_name").when(F.col("length") > max_bytes, "too_large")
     )
     return files.withColumns({"filename": name, "reason": reason})
@@ -33,17 +37,12 @@ def judged(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 def read_txt_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(accepted: book_id, path, filename, size_bytes, modified_at, content; rejected: path, filename, size_bytes, reason).
 
-    All files below path are listed, so that rejects are on record; contents are read of accepted ones only.
+    All files below path are listed, in tasks, so that rejects are on record; contents are read of accepted ones only.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows, name = judged(files, max_bytes), F.try_element_at(F.split("path", "/"), F.lit(-1))
-    # the reader skips files without any byte: they are those of the listing that no row has
-    listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/"),) for f in files.inputFiles()], "path string")
-    empty = listed.join(files.select("path"), "path", "left_anti").withColumn("filename", name)
-    book = F.md5(F.col("path").cast("binary"))
-    accepted = rows.filter("reason is null").select(book.alias("book_id"), "path", "filename", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    rejected = rows.filter("reason is not null").select("path", "filename", F.col("length").alias("size_bytes"), "reason")
-    return accepted, rejected.union(empty.select("path", "filename", F.lit(0).cast("long"), F.lit("empty")))
+    rows = judged(files(spark, path), max_bytes)
+    good = rows.filter("reason is null").select(F.md5(F.col("path").cast("binary")).alias("book_id"), "path", "filename", "length", "modificationTime")
+    accepted = with_contents(good, path).select("book_id", "path", "filename", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    return accepted, rows.filter("reason is not null").select("path", "filename", F.col("length").alias("size_bytes"), "reason")
 
 
 def _legacy(data: bytes) -> tuple[str | None, str | None]:
@@ -97,23 +96,105 @@ def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.withColumn("character_count", F.length("text").cast("bigint")), slow.filter("text is null").drop("__utf8", "__text", "content", "text", "encoding").withColumn("reason", F.lit("undecodable"))
 
 
-def read_stage(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+class Conflict(RuntimeError):
+    """Another writer committed the same buckets in between, again and again."""
 
 
-def write_stage(df: DataFrame, root: str, name: str, buckets: int = 64, key: str = "book_id") -> None:
-    """Replace the rows of the keys in df and leave all others as they are.
+def _manifest(spark: SparkSession, stage: str, version: int | None = None) -> tuple[int, dict[str, str]]:
+    """Version and bucket folders of a snapshot, the newest unless a version is named; 0 and none where there is none."""
+    store, folder = hadoop_path(spark, f"{stage}/_versions")
+    if not store.exists(folder):
+        return 0, {}
+    names = [x.getPath().getName() for x in store.listStatus(folder)]
+    versions = [int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n)]
+    if version is None:
+        version = max(versions, default=0)
+    if version not in versions:
+        return 0, {}
+    stream = store.open(hadoop_path(spark, f"{stage}/_versions/{version}.json")[1])
+    try:
+        return version, json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, stage: str, version: int, buckets: dict[str, str]) -> bool:
+    """Make a snapshot the next version; False if that version is there already."""
+    draft = f"{stage}/_drafts/{uuid.uuid4().hex}.json"
+    store, where = hadoop_path(spark, draft)
+    stream = store.create(where, False)
+    stream.write(bytearray(json.dumps(buckets, sort_keys=True).encode()))
+    stream.close()
+    final = hadoop_path(spark, f"{stage}/_versions/{version}.json")[1]
+    store.mkdirs(final.getParent())
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.NONE  # never over another file
+    try:
+        context.rename(store.makeQualified(where), store.makeQualified(final), options)
+    except Py4JJavaError as e:
+        if not store.exists(final):
+            raise e
+        store.delete(where, False)
+        return False
+    return True
+
+
+def _snapshot(spark: SparkSession, stage: str, buckets: dict[str, str], schema: T.StructType | str) -> DataFrame:
+    if not buckets:
+        return spark.createDataFrame([], schema)
+    read = spark.read.schema(schema).option("basePath", f"{stage}/data").parquet(*(f"{stage}/data/{folder}/bucket={b}" for b, folder in buckets.items()))
+    return read.drop("write")
+
 
-    Only the buckets that hold such keys are read and written again. Their new rows are settled first,
-    as they come from the files that they replace; a large bucket is many files.
+def read_stage(spark: SparkSession, root: str, name: str, schema: T.StructType | str, version: int | None = None) -> DataFrame:
+    """The newest snapshot of a stage, or an earlier version: always one whole commit, whatever is being written."""
+    return _snapshot(spark, f"{root}/{name}", _manifest(spark, f"{root}/{name}", version)[1], schema)
+
+
+def write_stage(df: DataFrame, root: str, name: str, buckets: int = 64, key: str = "book_id", tries: int = 5) -> int:
+    """Replace the rows of the keys in df and leave all others as they are; returns the version that was written.
+
+    Only the buckets that hold such keys are read and written again, into folders of their own. A version
+    is a small file that names the folder of each bucket; it appears in one step and only as the successor of
+    the one that was read. Where another writer was first, its version is read: if it left the buckets of df
+    alone, the new folders count on top of it, otherwise the merge is done again. So writers lose no rows, and
+    readers see one version or the next. Earlier versions stay until clean_stage.
+    """
+    stage, spark = f"{root}/{name}", df.sparkSession
+    out = saved(df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "stage-rows")
+    mine = [str(r.bucket) for r in out.select("bucket").distinct().collect()]  # buckets at most
+    parent, held = _manifest(spark, stage)
+    for _ in range(tries):
+        base = {b: held.get(b) for b in mine}
+        others = _snapshot(spark, stage, {b: f for b, f in base.items() if f}, out.schema)
+        rows = out.unionByName(others.join(out.select(key).distinct(), key, "left_anti"))
+        folder = f"write={uuid.uuid4().hex}"
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{stage}/data/{folder}")
+        while {b: held.get(b) for b in mine} == base:
+            if _commit(spark, stage, parent + 1, held | dict.fromkeys(mine, folder)):
+                return parent + 1
+            parent, held = _manifest(spark, stage)
+    raise Conflict(f"{stage}: {tries} tries")
+
+
+def clean_stage(spark: SparkSession, root: str, name: str, keep: int = 2) -> list[str]:
+    """Delete all but the last `keep` versions and the folders that none of those names; returns these folders.
+
+    Not while writers are at work: their folders are not named yet.
     """
-    path, spark = f"{root}/{name}", df.sparkSession
-    out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if exists(spark, path):
-        out = settled(out)
-        others = spark.read.schema(out.schema).parquet(path).join(out.select("bucket").distinct(), "bucket", "left_semi")
-        out = settled(out.unionByName(others.join(out.select(key).distinct(), key, "left_anti")))
-    out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    stage = f"{root}/{name}"
+    newest, _ = _manifest(spark, stage)
+    used = {f for v in range(max(1, newest - keep + 1), newest + 1) for f in _manifest(spark, stage, v)[1].values()}
+    store, versions = hadoop_path(spark, f"{stage}/_versions")
+    for x in store.listStatus(versions):
+        if int(x.getPath().getName()[:-5]) <= newest - keep:
+            store.delete(x.getPath(), False)
+    gone = [x.getPath() for x in store.listStatus(hadoop_path(spark, f"{stage}/data")[1]) if x.getPath().getName() not in used]
+    for path in gone:
+        store.delete(path, True)
+    return sorted(p.getName() for p in gone)
 
 
 def expire(books: DataFrame, now: Column, ttl: timedelta) -> tuple[DataFrame, DataFrame]:

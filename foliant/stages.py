@@ -43,7 +43,8 @@ def settled(df: DataFrame) -> DataFrame:
     return saved(df, "settled")
 
 
-def _store(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path, as Spark knows them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
@@ -51,22 +52,22 @@ def _store(spark: SparkSession, path: str):
 def spent(*tables: DataFrame) -> None:
     """Delete saved tables from which nothing is computed any more."""
     for df in tables:
-        store, where = _store(df.sparkSession, df._saved_at)
+        store, where = hadoop_path(df.sparkSession, df._saved_at)
         store.delete(where, True)
 
 
 def renamed(spark: SparkSession, old: str, new: str) -> bool:
     """Give a folder its final name in one step; if that name is taken, delete the folder and say False."""
-    store, where = _store(spark, old)
-    target = _store(spark, new)[1]
-    if not store.exists(target) and store.rename(where, target) and not store.exists(_store(spark, f"{new}/{where.getName()}")[1]):
+    store, where = hadoop_path(spark, old)
+    target = hadoop_path(spark, new)[1]
+    if not store.exists(target) and store.rename(where, target) and not store.exists(hadoop_path(spark, f"{new}/{where.getName()}")[1]):
         return True
     store.delete(where, True)
-    store.delete(_store(spark, f"{new}/{where.getName()}")[1], True)  # where a rename moves into a folder that came first
+    store.delete(hadoop_path(spark, f"{new}/{where.getName()}")[1], True)  # where a rename moves into a folder that came first
     return False
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
-    store, where = _store(spark, path)
+    store, where = hadoop_path(spark, path)
     return store.exists(where)

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.sources import corpus, report
+from foliant.sources import corpus, listing, report
 from foliant.streaming import progress as pr
 
 
@@ -52,6 +52,41 @@ def test_stage_keeps_other_keys_of_a_bucket(spark, tmp_path):
     assert len(after) == 201 and {b: v for b, v in after.items() if v > 1} == {"b0": 2, "new": 3}
 
 
+def test_two_writers_lose_no_row(spark, tmp_path, monkeypatch):
+    """A second writer commits between the first one's read and its commit: other buckets, then the same one."""
+    root, kind = str(tmp_path), "book_id string, v int, bucket int"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "book_id string, v int")
+    assert corpus.write_stage(rows(*((f"b{i}", 0) for i in range(30))), root, "s", buckets=3) == 1
+    commit, between = corpus._commit, [("other", 7), ("b1", 8)]
+
+    def late(*a):
+        if between:
+            monkeypatch.setattr(corpus, "_commit", commit)
+            corpus.write_stage(rows(between.pop()), root, "s", buckets=3)
+            monkeypatch.setattr(corpus, "_commit", late)
+        return commit(*a)
+
+    monkeypatch.setattr(corpus, "_commit", late)
+    assert corpus.write_stage(rows(("b1", 1), ("b2", 2)), root, "s", buckets=3) == 4
+    read = {r.book_id: r.v for r in corpus.read_stage(spark, root, "s", kind).collect()}
+    assert len(read) == 31 and (read["b1"], read["b2"], read["other"], read["b3"]) == (1, 2, 7, 0)
+    assert {r.v for r in corpus.read_stage(spark, root, "s", kind, version=1).collect()} == {0}
+    corpus.write_stage(rows(("b9", 9)), root, "s", buckets=3)
+    assert corpus.clean_stage(spark, root, "s", keep=1) and corpus.read_stage(spark, root, "s", kind).count() == 31
+    assert corpus.read_stage(spark, root, "none", kind).isEmpty()
+
+
+def test_listing_deals_folders(tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x.txt").write_text("x")
+    (tmp_path / "top.txt").write_text("")
+    reader = listing.FilesReader(str(tmp_path))
+    parts = reader.partitions()
+    names = [p for part in parts for batch in reader.read(part) for p in batch.column("path").to_pylist()]
+    assert len(parts) == 20 and len(names) == len(set(names)) == 301 and f"file:{tmp_path}/top.txt" in names
+
+
 def test_last_resort_encodings():
     assert corpus._legacy("Съешь ещё этих мягких французских булок".encode("cp1251"))[0] is not None
     assert corpus._legacy(bytes(range(1, 32)) * 20) == (None, None)
