@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions.tokens import token_count
+from ..operators import answers as an
 from ..operators import hierarchy as hi
 from ..operators import requests as rq
 from ..stages import settled
@@ -129,6 +130,55 @@ def f7b(spark, d):
     return rq.parse_items(_answers(spark, d), "claims")[1].select("unit_id", "code")
 
 
+def _structured(spark, d, kind):
+    """Answers of a kind: fenced, with the list shorthand, without the overview, with an unknown field, citing elsewhere, broken."""
+    u, k = _units(spark, d), F.col("turn") % 6
+    ids = F.when(k == 4, F.lit('["elsewhere"]')).otherwise(F.to_json("allowed_ids"))
+    if kind == "summary":
+        item = F.concat(F.lit('"key_events":[{"description":"d","source_chunk_ids":["k"],"chapter_ids":'), ids, F.when(k == 1, ',"confidence":"likely"').otherwise(""), F.lit("}]"))
+    else:
+        sources = F.when(k == 1, ids).otherwise(F.concat(F.lit('{"input_ids":'), ids, F.lit("}")))
+        name = "key_events" if kind == "merge" else "conflicts_and_uncertainties"
+        item = F.concat(F.lit(f'"{name}":[{{"description":"d","confidence":"likely","sources":'), sources, F.lit("}]"))
+    first = F.lit("overall_summary" if kind == "outline" else "overview")
+    head = F.when(k == 2, "{").otherwise(F.concat(F.lit('{"'), first, F.lit('":"o '), F.col("unit_id"), F.lit('",')))
+    text = F.concat(head, item, F.when(k == 3, ',"mood":1').otherwise(""), F.when(k == 5, "").otherwise("}"))
+    rows = u.withColumn("content", F.when(k == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text))
+    return rows.withColumnsRenamed({"allowed_ids": "allowed_chapters"} if kind == "summary" else {})
+
+
+@query("f7_parse_summaries", f"""with {UNITS}
+select unit_id, 'o ' || unit_id as overview, 'd' as description, allowed_ids as chapter_ids, case turn % 6 when 1 then 'likely' else 'certain' end as confidence from units where turn % 6 < 2""")
+def f7_summaries(spark, d):
+    event = F.get("key_events", F.lit(0))
+    rows = an.parse_summaries(_structured(spark, d, "summary"), strict=True)[0]
+    return rows.select("unit_id", "overview", event["description"].alias("description"), event["chapter_ids"].alias("chapter_ids"), event["confidence"].alias("confidence"))
+
+
+@query("f7_parse_merges", f"with {UNITS} select unit_id, 'o ' || unit_id as overview, allowed_ids as input_ids, 0 as n_batches, 'likely' as confidence from units where turn % 6 < 2")
+def f7_merges(spark, d):
+    event = F.get("key_events", F.lit(0))
+    rows = an.parse_merges(_structured(spark, d, "merge"), strict=True)[0]
+    return rows.select("unit_id", "overview", event["sources"]["input_ids"].alias("input_ids"), F.size(event["sources"]["batch_ids"]).alias("n_batches"), event["confidence"].alias("confidence"))
+
+
+@query("f7_parse_outlines", f"with {UNITS} select unit_id, 'o ' || unit_id as overall_summary, allowed_ids as input_ids, 0 as n_storylines from units where turn % 6 < 2")
+def f7_outlines(spark, d):
+    point = F.get("conflicts_and_uncertainties", F.lit(0))
+    rows = an.parse_outlines(_structured(spark, d, "outline"), strict=True)[0]
+    return rows.select("unit_id", "overall_summary", point["sources"]["input_ids"].alias("input_ids"), F.size("storylines").alias("n_storylines"))
+
+
+@query("f7_answer_failures", f"""with {UNITS}
+select unit_id, kind, case turn % 6 when 2 then 'missing' when 3 then 'unknown_field' when 4 then 'outside' else 'invalid_json' end as code,
+  case turn % 6 when 2 then case kind when 'outline' then 'overall_summary' else 'overview' end when 4 then case kind when 'summary' then 'chapter_ids' else 'input_ids' end else '' end as at
+from units, (values ('summary'), ('merge'), ('outline')) x(kind) where turn % 6 > 1""")
+def f7_failures(spark, d):
+    parsers = {"summary": an.parse_summaries, "merge": an.parse_merges, "outline": an.parse_outlines}
+    found = [parse(_structured(spark, d, kind), strict=True)[1].select("unit_id", F.lit(kind).alias("kind"), "code", "at") for kind, parse in parsers.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("f8_provenance_violations", f"with {UNITS} select unit_id, ['c' || (turn + 2)] as outside from units where conv_id % 3 = 0")
 def f8(spark, d):
     u = _units(spark, d)
