@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import book_plans, knowledge_plans, model_plans, report_plans, search_plans, source_plans, text_plans  # noqa: F401
+from . import book_plans, knowledge_plans, model_plans, report_plans, search_plans, source_plans, stream_plans, text_plans  # noqa: F401
 from .base import QUERIES, SQL
 from .search_plans import flagship
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import is_terminal, phase
 from ..operators.retrieval import passages
@@ -32,6 +34,43 @@ def stream_latest(progress: DataFrame) -> DataFrame:
     return progress.groupBy("task_id").agg(last.alias("s"), F.max("updated_at").alias("updated_at")).select("task_id", "s.*", "updated_at")
 
 
+CHANGE = "event_id string, task_id string, phase string, terminal boolean, completed int, total int, updated_at timestamp"
+
+
+def stream_changes(progress: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The snapshots of each task in order, where they change, up to the terminal one; for append mode.
+
+    State per task is the last id that went out and whether the task has ended, so a restarted query goes on
+    after it. seen (task_id, last_seen; one row a task): ids that a reader has already; a task starts after that
+    snapshot if it comes, and does not repeat it. Within a batch snapshots are ordered by updated_at, then event_id.
+    """
+    known = seen.select("task_id", F.col("last_seen").cast("string").alias("last_seen")) if seen is not None else None
+    rows = progress.join(known, "task_id", "left") if known is not None else progress.withColumn("last_seen", F.lit(None).cast("string"))
+
+    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["updated_at", "event_id"], kind="stable")  # one task's snapshots of one batch
+        last, ended = state.get if state.exists else (rows["last_seen"].iloc[0], False)
+        if not state.exists and last is not None and (rows["event_id"] == last).any():
+            rows = rows.iloc[int((rows["event_id"] == last).to_numpy().nonzero()[0][-1]) + 1 :]
+        out = []
+        for at, (event, terminal) in enumerate(zip(rows["event_id"], rows["terminal"])):
+            if ended:
+                break
+            if event != last:
+                out.append(at)
+                last = event
+            ended = bool(terminal)
+        state.update((last, ended))
+        yield rows.iloc[out].drop(columns="last_seen")[[f.split()[0] for f in CHANGE.split(", ")]]
+
+    return rows.groupBy("task_id").applyInPandasWithState(changes, CHANGE, "last string, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(frame: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a streaming table over what its source holds now, from its checkpoint on, and wait for the end."""
+    frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_trace_totals(trace: DataFrame) -> DataFrame:
     """task_id, kind, calls, tokens, total_ms."""
     return trace.groupBy("task_id", "kind").agg(F.count("*").alias("calls"), F.sum("estimated_tokens").alias("tokens"), F.sum("duration_ms").alias("total_ms"))
@@ -65,4 +104,4 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["MANIFEST", "read_txt_corpus", "snapshots", "stream_ingest", "stream_latest", "stream_progress", "stream_trace_totals"]
+__all__ = ["MANIFEST", "read_txt_corpus", "run_available", "snapshots", "stream_changes", "stream_ingest", "stream_latest", "stream_progress", "stream_trace_totals"]

@@ -130,6 +130,28 @@ def test_streams(spark, tmp_path):
     assert {(r.task_id, r.phase, r.terminal) for r in spark.table("latest").collect()} == {("t1", "completed", True), ("t2", "queued", False)}
 
 
+def test_stream_of_changes_resumes(spark, tmp_path):
+    """States repeat, tasks end, a reader has seen one; a second run goes on from the state of the first."""
+    at = lambda n: f"2024-01-01 00:00:{n:02d}"
+    parts = [
+        [("a", "running", 1, at(1)), ("a", "running", 1, at(1)), ("a", "running", 2, at(2)), ("b", "pending", 0, at(1)), ("c", "running", 1, at(3)), ("c", "running", 2, at(4))],
+        [("a", "running", 2, at(2)), ("a", "completed", 3, at(5)), ("b", "failed", 0, at(6)), ("b", "running", 1, at(7)), ("c", "running", 3, at(8))],
+        [("a", "running", 9, at(9)), ("d", "pending", 0, at(9))],
+    ]
+    kind = "task_id string, status string, completed int, total int, updated_at timestamp"
+    frames = [spark.createDataFrame([(t, s, c, 3, u) for t, s, c, u in p], "t string, s string, c int, n int, u string").select(*(F.col(x).cast(k.split()[1]).alias(k.split()[0]) for x, k in zip("tscnu", kind.split(", ")))) for p in parts]
+    ids = {(r.task_id, r.completed): r.event_id for f in frames for r in pr.snapshots(f).collect()}
+    seen = spark.createDataFrame([("c", ids["c", 1]), ("d", "unknown")], "task_id string, last_seen string")
+    got = []
+    for frame in frames:
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        rows = []
+        changes = pr.stream_changes(pr.snapshots(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))), seen)
+        pr.run_available(changes, str(tmp_path / "ck"), lambda df, n: rows.extend(df.collect()))
+        got.append(sorted((r.task_id, r.completed, r.terminal) for r in rows))
+    assert got == [[("a", 1, False), ("a", 2, False), ("b", 0, False), ("c", 2, False)], [("a", 3, True), ("b", 0, True), ("c", 3, False)], [("d", 0, False)]]
+
+
 def test_stream_ingest_takes_new_files_once(spark, folder):
     out = folder / "out"
 
