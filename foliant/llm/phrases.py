@@ -48,37 +48,47 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word) or 1
 
 
-def _shard(lang: str, words: list[bytes], shard: int) -> tuple[tuple, list[tuple]]:
-    """A row of word hashes, pieces ending in 0, and rows of its different words with their counts."""
+def _coded(lang: str, words: list[bytes], names: dict[bytes, int]) -> np.ndarray:
+    """Hashes of words, pieces ending in 0; adds the times of each word to names."""
     place = dict(zip(words, range(len(words))))
-    place.pop(b".", None)
-    different = list(place)
-    hashes = np.zeros(len(words) + 1, np.uint64)
-    hashes[list(place.values())] = np.fromiter((word_hash(lang, w) for w in different), np.uint64, len(different))
     place[b"."] = len(words)
     at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
     times = np.bincount(at, minlength=len(words) + 1)
-    ids = hashes[np.append(at, len(words))].view(np.int64)
-    names = [(hashes[place[w]].tobytes(), lang, w.decode(), int(times[place[w]])) for w in different]
-    return (shard, ids), names
+    del place[b"."]
+    spots = np.fromiter(place.values(), np.int64, len(place))
+    hashes = np.zeros(len(words) + 1, np.uint64)
+    hashes[spots] = np.fromiter((word_hash(lang, w) for w in place), np.uint64, len(place))
+    for w, n in zip(place, times[spots].tolist()):
+        names[w] = names.get(w, 0) + n
+    return hashes[np.append(at, len(words))].view(np.int64)
+
+
+SHARD_ROWS = pa.schema([("shard", pa.int32()), ("ids", pa.list_(pa.int64())), ("id", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("times", pa.int64())])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind shard (shard, words) and of kind word (shard -1, id, lang, word, times)."""
+    """Rows of words (shard, ids) and rows of different words (shard -1, id, lang, word, times), a few for each word of a task."""
     from pyspark import TaskContext
 
     turn = TaskContext.get().partitionId()
     held: dict[str, list[bytes]] = {}
+    names: dict[str, dict[bytes, int]] = {}
 
     def made(lang: str) -> pa.RecordBatch:
         nonlocal turn
-        row, names = _shard(lang, held.pop(lang), turn % SHARDS)
+        ids = _coded(lang, held.pop(lang), names.setdefault(lang, {}))
         turn += 1
-        n = len(names)
-        return pa.RecordBatch.from_arrays([
-            pa.array([row[0]] + [-1] * n, pa.int32()), pa.array([row[1]] + [None] * n, pa.list_(pa.int64())), pa.array([None] + [x[0] for x in names], pa.binary()),
-            pa.array([None] + [x[1] for x in names], pa.string()), pa.array([None] + [x[2] for x in names], pa.string()), pa.array([None] + [x[3] for x in names], pa.int64()),
-        ], names=["shard", "ids", "id", "lang", "word", "times"])
+        return pa.RecordBatch.from_pylist([{"shard": (turn - 1) % SHARDS}], schema=SHARD_ROWS).set_column(1, "ids", pa.array([ids], pa.list_(pa.int64())))
+
+    def named() -> Iterator[pa.RecordBatch]:
+        for lang, times in names.items():
+            words = list(times)
+            for i in range(0, len(words), 50_000):
+                some = words[i : i + 50_000]
+                ids = [word_hash(lang, w).to_bytes(8, "little") for w in some]
+                cells = [[-1] * len(some), [None] * len(some), ids, [lang] * len(some), [w.decode() for w in some], [times[w] for w in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, SHARD_ROWS)], schema=SHARD_ROWS)
+        names.clear()
 
     n = 0
     for batch in slices(batches, 256):
@@ -95,8 +105,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in list(held):
                 yield made(lang)
             n = 0
+        if sum(map(len, names.values())) > WORDS:
+            yield from named()
     for lang in list(held):
         yield made(lang)
+    yield from named()
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
