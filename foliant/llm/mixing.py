@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import own_prefix, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,13 +57,11 @@ def copies(doc_id: Column, rate: Column, seed: str = "mix") -> Column:
     return (F.floor(rate) + F.when(uniform < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def _planned(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """rows with source_size, target and copies of their source beside all their own columns."""
-    t = targets.select(
-        F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target")
-    )
-    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
-    return rows.join(t, rows["source"].eqNullSafe(t["__mix_source"])).withColumn("__mix_copies", copies(rows["doc_id"], rate, seed))
+def _planned(rows: DataFrame, targets: DataFrame, seed: str, own: str) -> DataFrame:
+    """rows with source_size, target and copies of their source beside all their own columns; own begins the new names."""
+    t = targets.select(F.col("source").alias(f"{own}source"), F.col("source_size").alias(f"{own}source_size"), F.col("target").alias(f"{own}target"))
+    rate = F.when(F.col(f"{own}source_size") > 0, F.col(f"{own}target") / F.col(f"{own}source_size")).otherwise(0.0)
+    return rows.join(t, rows["source"].eqNullSafe(t[f"{own}source"])).withColumn(f"{own}copies", copies(rows["doc_id"], rate, seed))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -77,7 +75,7 @@ def mix_plan(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     no copies. Repeated rows: each is counted and taken. Empty table: no rows. Other columns are ignored.
     """
     sizes = saved(sizes_of(docs), "mix-sizes")
-    planned = _planned(sizes, saved(source_targets(sizes, **targets), "mix-targets"), seed)
+    planned = _planned(sizes, saved(source_targets(sizes, **targets), "mix-targets"), seed, "__mix_")
     return planned.select(
         "doc_id", "source", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"),
         F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken"),
@@ -87,5 +85,6 @@ def mix_plan(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """The mixed documents themselves, with all their columns: each row as often as mix_plan says."""
     wanted = saved(source_targets(sizes_of(docs), **targets), "mix-targets")
-    planned = _planned(docs, wanted, seed).filter("__mix_copies > 0")
-    return planned.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[planned[c] for c in docs.columns])
+    own = own_prefix(docs, "__mix_")
+    planned = _planned(docs, wanted, seed, own).filter(F.col(f"{own}copies") > 0)
+    return planned.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(*[planned[c] for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import BLOCK, bound, folded
 from .spans import SPAN, count_kind, digits, found, labelled, listed, luhn, ordered, row_key
-from .storage import saved
+from .storage import own_prefix, saved
 
 ONE = SPAN.removeprefix("array<").removesuffix(">")
 KINDS = ["email", "ip", "card", "phone"]
@@ -187,17 +187,17 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; rows without an id are cleaned like others; repeated rows alike; very long texts in
     blocks of spans; an empty table gives no rows. Columns of docs keep their names and values.
     """
-    added = added_spans(scan(docs)).select(F.col("key_a").alias("__pii_a"), F.col("key_b").alias("__pii_b"), F.col("added").alias("__pii_added"))
+    own = own_prefix(docs, "__pii_")
+    name = lambda part: F.col(f"{own}{part}")
+    added = added_spans(scan(docs)).select(F.col("key_a").alias(f"{own}a"), F.col("key_b").alias(f"{own}b"), F.col("added").alias(f"{own}added"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a, b = row_key(F.col("doc_id"), text)
-    rows = docs.withColumns({"__pii_ka": a, "__pii_kb": b}).join(
-        added, (F.col("__pii_ka") == F.col("__pii_a")) & (F.col("__pii_kb") == F.col("__pii_b")), "left"
-    )
+    rows = docs.withColumns({f"{own}ka": a, f"{own}kb": b}).join(added, (name("ka") == name("a")) & (name("kb") == name("b")), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    spans = ordered(F.concat(base_spans(text), F.coalesce(F.col("__pii_added"), none)), KINDS, by_start=True)
+    spans = ordered(F.concat(base_spans(text), F.coalesce(name("added"), none)), KINDS, by_start=True)
 
-    rows = rows.withColumn("__pii_spans", spans)
-    text_out = F.when(F.size("__pii_spans") > 0, bound(F.col("__pii_spans"), lambda s: _replaced(text, s))).otherwise(F.col("text")).alias("text")
+    rows = rows.withColumn(f"{own}spans", spans)
+    text_out = F.when(F.size(name("spans")) > 0, bound(name("spans"), lambda s: _replaced(text, s))).otherwise(F.col("text")).alias("text")
     return rows.select(*[text_out if c == "text" else docs[c] for c in docs.columns])
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import own_prefix
+
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -107,4 +109,5 @@ def keep(docs: DataFrame, policy: str = "general-1") -> DataFrame:
     words; rows without an id and repeated rows are judged each; very long texts whole; columns of docs whose
     names are those of the ledger keep their values; an empty table gives no rows.
     """
-    return judged(docs, "__ledger_").filter(passes(policy, F.col("__ledger_failed"))).select(*[docs[c] for c in docs.columns])
+    own = own_prefix(docs, "__ledger_")
+    return judged(docs, own).filter(passes(policy, F.col(f"{own}failed"))).select(*[docs[c] for c in docs.columns])

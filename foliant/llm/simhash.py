@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import saved
+from .storage import own_prefix, saved
 
 BLOCKS = 6
 FULL = 1024
@@ -222,10 +222,11 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     Rows that repeat that id are one document: one of them stays. Rows without an id cannot be named and
     are all kept.
     """
-    chosen = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).count()
+    own = own_prefix(docs, "__kept_") + "id"
+    chosen = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).count()
     chosen = saved(chosen, "simhash-kept")
     # the same plan at every size: texts move once, beside the chosen ids
-    kept = docs.join(chosen.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    kept = docs.join(chosen.select(own).hint("merge"), docs["doc_id"] == F.col(own), "left_semi")
     if not chosen.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null"))

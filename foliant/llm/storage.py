@@ -4,29 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..stages import new_folder
+from ..stages import saved, spent
 
 
-def saved(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """Write df to the shared folder, in folders by the partition columns, and read it back.
-
-    This cuts the lineage with files that outlive any executor, keeps later reads from computing df
-    again, and tells the planner its true size, by which it picks a broadcast or a shuffled join.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def spent(*tables: DataFrame) -> None:
-    """Delete saved tables from which nothing is computed any more."""
-    for df in tables:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def own_prefix(df: DataFrame, name: str) -> str:
+    """A beginning of column names that no column of df has: name, with more underscores before it if need be."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["own_prefix", "read_table", "saved", "spent"]

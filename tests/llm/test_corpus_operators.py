@@ -322,3 +322,16 @@ def test_pipeline_columns(spark, tmp_path):
         assert stage(spark, docs_in, str(tmp_path)).columns == docs_in.columns, name
         assert stage(spark, docs_in.limit(0), str(tmp_path)).isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, docs_in, "").filter(F.size("token_ids") > 0).count() == 1
+
+
+def test_stages_and_columns_of_their_own_names(spark):
+    """Columns of docs that are named as the stages' helpers keep their names and values through all stages."""
+    names = ["__mix_source", "__mix_copies", "__mix_copy", "__pii_spans", "__pii_a", "__PII_added", "__ledger_failed", "__ledger_measures", "__kept_id", "node", "root", "failed"]
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrd") for _ in range(5))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(12)) + " Write to a.b@c.org now.", "en", "s", 0, *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs_in = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_in, "")
+        kept = out.select("doc_id", *names).distinct().collect()
+        assert kept and all(tuple(r)[1:] == tuple(f"{n}{r.doc_id}" for n in names) for r in kept)
