@@ -291,7 +291,30 @@ def _tree(spark, d):
     return hi.merge_tree(_materials(spark, d), 700, 40, merge, lambda df, _: settled(df))
 
 
-@query("g6_merge_tree")
+def _merged(k: int) -> str:
+    """Level k of the merge trees in SQL, from level k - 1: what does not fit is packed and merged."""
+    return f""",
+fit{k} as (select book_id, sum(tokens) + 40 <= 700 - 64 as fits from l{k - 1} group by book_id having max(tokens) + 40 <= 700 or sum(tokens) + 40 <= 700 - 64),
+rest{k} as (select l.* from l{k - 1} l join fit{k} using (book_id) where not fits),
+packed{k} as (
+  with recursive p as (
+    select book_id, pos, 1 as grp, 40 + tokens as used from rest{k} where pos = 1
+    union all
+    select r.book_id, r.pos, case when used + r.tokens <= 700 then grp else grp + 1 end, case when used + r.tokens <= 700 then used + r.tokens else 40 + r.tokens end
+    from p join rest{k} r on r.book_id = p.book_id and r.pos = p.pos + 1)
+  select *, max(grp) over (partition by book_id) as n_groups, count(*) over (partition by book_id) as n from p),
+m{k} as (
+  select book_id, grp as pos, {k} as level, 'merge_' || substr(sha256('{k}:' || sha256(string_agg(sha256(payload), chr(31) order by pos))), 1, 16) as input_id,
+    flatten(list(batch_ids order by pos)) as batch_ids, substr('merged ' || string_agg(substr(payload, 1, 200), ' ' order by pos), 1, 300) as payload
+  from rest{k} join packed{k} using (book_id, pos) where n_groups < n group by book_id, grp),
+l{k} as (select *, {tokens('payload')} as tokens from m{k})"""
+
+
+@query("g6_merge_tree", f"""with {SUMMARIES},
+l0 as (
+  select book_id, row_number() over (partition by book_id order by batch_no) as pos, 0 as level, batch_id as input_id, [batch_id] as batch_ids, payload, {tokens('payload')} as tokens from summaries)
+{''.join(map(_merged, (1, 2, 3, 4)))}
+{' union all '.join(f'select book_id, level, pos, input_id, batch_ids from l{k - 1} join fit{k} using (book_id) where fits' for k in (1, 2, 3, 4))}""")
 def g6(spark, d):
     return _tree(spark, d)[0].select("book_id", "level", "pos", "input_id", "batch_ids")
 
