@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -317,3 +318,33 @@ def test_many_matches_in_one_text(spark):
     assert pii.redact(rows).first().text == text.replace("a@b.co", "<EMAIL>").replace("1.2.3.4", "<IP>")
     found = secrets.digest(secrets.find_secrets(docs(spark, [(1, "token=abcdefgh1 " * 20_000, "s")]))).first()
     assert found.n_assign == 20_000
+
+
+SAID = [f"This is paragraph number {i}, which holds some words, commas, and a fair length so that it scores as an article would do on any page." for i in range(3)]
+PARAS, WHOLE = "".join(f"<p>{x}</p>" for x in SAID), " ".join(SAID)
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<article><header><h1>Head</h1><p>lede</p><nav>x</nav></header>{PARAS}</article>", f"Head lede {WHOLE}"),
+    (f'<div class="comment"><h1>Opinion</h1>{PARAS}</div>', f"Opinion {WHOLE}"),
+    (f'<section id="comment-is-free">{PARAS}</section>', WHOLE),
+    (f'<article class="comment">{PARAS}</article>', WHOLE),
+    (f'<div style="visibility:hidden">{PARAS}</div>', WHOLE),
+    (f"<noscript>{PARAS}</noscript>", WHOLE),
+    (f'<header class="page">{PARAS}</header>', WHOLE),
+    ("<article><p><a href=x>All of it, with commas, stands in a link.</a></p></article>", "All of it, with commas, stands in a link."),
+    (f'<div class="cookie-notice">{"We use cookies, and more. " * 70}</div>{PARAS}', WHOLE),
+    (f'<div class="story">{PARAS}</div><div><p>Sources: <a>Alpha</a>, <a>Beta</a></p></div>', f"{WHOLE} Sources: Alpha, Beta"),
+    (f'<div class="story">{PARAS}</div><div><p><a>Alpha</a> | <a>Beta</a></p></div>', WHOLE),
+    (f'<article>{PARAS}</article><div class="comments"><div class="comment">{PARAS * 5}</div></div>', WHOLE),
+    (f"<body><header><p>Site head</p></header><div>{PARAS}</div><noscript>Enable scripts, please</noscript></body>", WHOLE),
+])
+def test_pages_in_doubt(html, text):
+    assert pages.main_text(html) == text
+
+
+@pytest.mark.parametrize("tags", ["<div><span>", "</b>", "<b>", "<li>", "<p>x", "<td>", "<header>", "<div>a ", "<b></i>", "<a>x<div>", "<div><p>a, b</p>", "<p><b>x</p>"])
+def test_tags_of_any_kind_are_walked_in_linear_time(tags):
+    began = time.perf_counter()
+    pages.main_text(tags * 20_000 + "x")
+    assert time.perf_counter() - began < 5
