@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from .storage import saved
 
 SAMPLE = 4096  # rows that the index is fitted on, at most
-PART_ROWS = 2048  # vectors a part should hold while there are few parts
+PART_ROWS = 64  # vectors a part should hold while there are few parts
 MOST_PARTS = 128
 RECALL = 0.97  # asked of held-out queries of the sample
 BLOCK = 4096  # vectors, or queries, that one task compares at once

@@ -255,18 +255,26 @@ def exact(x, ids, k=10):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def test_neighbours_of_small_tables_are_exact(spark):
+@pytest.mark.parametrize("n", [60, 700])
+def test_neighbours_of_small_tables(spark, n):
+    """Up to a part's rows the search is exact; above, the learned parts are searched as for any table."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(700, 8)).astype("f4")
-    x[5] = x[9] = x[20] = x[100]
+    x = rng.normal(size=(n, 8)).astype("f4")
+    x[5] = x[9] = x[20] = x[n // 7]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     rows += [(10_000, None, 0), (10_100, [0.0] * 8, 0), (10_200, [float("nan")] * 8, 0), (10_300, [None] * 8, 0), (10_400, [1.0, 2.0], 0), (None, x[0].tolist(), 0), (0, x[0].tolist(), 0)]
     got = defaultdict(list)
     for r in neighbours.search(spark.createDataFrame(rows, VECTORS)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    want = exact(x.astype("f8"), np.arange(700))
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
-    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q]))
+    want = exact(x.astype("f8"), np.arange(n))
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    for q, found in got.items():
+        far = np.sqrt(((x.astype("f8") - x[q].astype("f8")) ** 2).sum(axis=1))
+        assert q not in [i for i, _ in found] and all(abs(far[i] - score) < 1e-12 for i, score in found)
+        assert found == sorted(found, key=lambda r: (r[1], r[0]))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in v}) for q, v in want.items())
+    assert hits == 10 * len(want) if n <= neighbours.PART_ROWS else hits >= 9 * len(want)
+    assert neighbours.fit(x.astype("f8"), n).parts == (1 if n <= neighbours.PART_ROWS else 16)
     few = neighbours.search(spark.createDataFrame(rows[:4], VECTORS)).collect()
     assert [r.rank for r in few] == [1, 2, 3]
     assert neighbours.search(spark.createDataFrame([], VECTORS)).isEmpty()
