@@ -108,7 +108,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_chat": op13_chat,
 }
 
+LEDGER = r"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+listed as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts),
+words as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from listed),
+windows as (select r, i, word || ' ' || lead(word) over (partition by r order by i) || ' ' || lead(word, 2) over (partition by r order by i) as x from words),
+often as (select r, i from (select *, count(*) over (partition by r, x) as c from windows where x is not null) where c > 1),
+covered as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as j from often) group by r),
+lines as (
+  select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(t, chr(10))) as line from texts)
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+measures as (
+  select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+    length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters, length(regexp_replace(t, '[^!]', '', 'g')) as n_bangs
+  from texts join listed using (r) left join covered using (r) left join lines using (r)),
+ledger as (select *, (""" + " + ".join(f"case when {rule} then {1 << k} else 0 end" for k, rule in enumerate(quality.RULES.values())) + ")::bigint as failed from measures)"
+_RULE = "select '{0}' as rule, count(*) filter (failed & {1} <> 0) as n_failed, count(*) filter (failed = {1}) as n_only from ledger"
+
 SQL: dict[str, str] = {
+    "op7_quality": f"""{LEDGER}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality.bits(quality.POLICIES['base-1'])} <> 0 as base_failed, failed & {quality.bits(quality.POLICIES['general-1'])} = 0 as kept, failed
+from ledger""",
+    "op7_rule_ablation": f"{LEDGER}\n" + " union all ".join(_RULE.format(rule, quality.bits([rule])) for rule in quality.POLICIES["general-1"]),
     "op1_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),

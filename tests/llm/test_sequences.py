@@ -221,6 +221,6 @@ def test_slots_of_one_hash_stay_apart():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op11_collocations", "op13_chat"])
+@pytest.mark.parametrize("name", sorted(llm.SQL))
 def test_equals_sql(spark, name):
     assert sorted_rows(llm.QUERIES[name](spark, FOLDER).toPandas()) == sorted_rows(expected(llm.SQL[name], FOLDER))
