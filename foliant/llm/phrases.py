@@ -191,15 +191,18 @@ def _scan(step: int, tables):
     return run
 
 
-def _reach(new: DataFrame, tables: list[np.ndarray], step: int) -> bool:
-    """Write the scan into the slots of the phrases that have just reached the threshold, by bitmaps of fixed size; whether there were any."""
-    slots = new.mapInArrow(_slot(len(tables[0])), "length int, slot long").withColumn("slot", F.col("slot") + 1)
+def _reach(often: DataFrame, tables: list[np.ndarray], step: int) -> bool:
+    """Write the scan into the slots of phrases at the threshold that have none yet, by bitmaps of fixed size; whether there were any."""
+    slots = often.mapInArrow(_slot(len(tables[0])), "length int, slot long").withColumn("slot", F.col("slot") + 1)
     bits = slots.groupBy("length", F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    found = bits.collect()  # a bit for each slot at most
-    for length, bucket, marked in found:
+    new = 0
+    for length, bucket, marked in bits.collect():  # a bit for each slot at most
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(marked), np.uint8), bitorder="little")) + (bucket - 1) * 8 * len(marked)
-        tables[length - 1][at] = np.minimum(tables[length - 1][at], step)
-    return bool(found)
+        table = tables[length - 1]
+        at = at[table[at] == NEVER]
+        table[at] = step
+        new += len(at)
+    return new > 0
 
 
 def _slot(slots: int):
@@ -236,15 +239,14 @@ def frequent_phrases(docs: DataFrame, least: int = 30, slots: int = SLOTS) -> tu
     while step < SHARDS or step <= news + SHARDS:
         sent = spark.sparkContext.broadcast([t.tobytes() for t in tables])
         shard = made.filter(F.col("shard") == step % SHARDS).select("ids")
-        counts = shard.mapInArrow(_scan(step, sent), "phrase binary, start int, n long").withColumn("before", F.lit(0).cast("long"))
+        counts = shard.mapInArrow(_scan(step, sent), "phrase binary, start int, n long")
         if now is not None:
-            counts = counts.unionByName(now.filter(F.col("start") + SHARDS > step).select("phrase", "start", "n", F.col("n").alias("before")))
-        last, now = now, saved(counts.groupBy("phrase", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before")), "phrase-counts")
+            counts = counts.unionByName(now.filter(F.col("start") + SHARDS > step))
+        last, now = now, saved(counts.groupBy("phrase", "start").agg(F.sum("n").alias("n")), "phrase-counts")
         sent.destroy()
         if last is not None:
             spent(last)
-        new = now.filter((F.col("n") >= least) & (F.col("before") < least) & (F.octet_length("phrase") < 8 * LONGEST))
-        if _reach(new.select("phrase"), tables, step):
+        if _reach(now.filter((F.col("n") >= least) & (F.octet_length("phrase") < 8 * LONGEST)).select("phrase"), tables, step):
             news = step
         step += 1
         done.append(saved(now.filter((F.col("start") + SHARDS <= step) & (F.col("n") >= least)).select("phrase", F.col("n").alias("f")), "phrase-done"))
