@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
+NAMED = re.compile(r"[a-z0-9-]+-[0-9a-f]{32}")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,3 +73,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
     store, where = hadoop_path(spark, path)
     return store.exists(where)
+
+
+def purge(spark: SparkSession, older_than: timedelta, now: datetime | None = None) -> list[str]:
+    """Delete what this library left in the shared folder and nothing has written to since; returns the names.
+
+    Only folders that new_folder names (a word and an id) and drafts of indexes count, by the newest time of the
+    folder and the files right in it, so tables that a running job still writes stay. Indexes stay: they are found again.
+    """
+    limit = ((now or datetime.now(UTC)) - older_than).timestamp() * 1000
+    store, top = hadoop_path(spark, shared_folder(spark))
+    gone = []
+    folders = [(top, NAMED)] + [(hadoop_path(spark, f"{shared_folder(spark)}/indexes")[1], re.compile(r"draft-[0-9a-f]{32}"))]
+    for folder, named in folders:
+        for x in store.listStatus(folder) if store.exists(folder) else []:
+            path = x.getPath()
+            if x.isDirectory() and named.fullmatch(path.getName()):
+                newest = max([x.getModificationTime(), *(y.getModificationTime() for y in store.listStatus(path))])
+                if newest < limit and store.delete(path, True):
+                    gone.append(path.getName())
+    return sorted(gone)

@@ -1,10 +1,11 @@
 """Files in, tables out, streams."""
 
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import stages
 from foliant.sources import corpus, listing, report
 from foliant.streaming import progress as pr
 
@@ -76,6 +77,15 @@ def test_two_writers_lose_no_row(spark, tmp_path, monkeypatch):
     assert corpus.read_stage(spark, root, "none", kind).isEmpty()
 
 
+def test_purge_deletes_old_folders_of_our_own(spark):
+    mine = stages.saved(spark.range(3), "purged")._saved_at
+    other = f"{stages.shared_folder(spark)}/not-ours"
+    spark.range(3).write.mode("overwrite").parquet(other)
+    assert mine.rsplit("/", 1)[1] not in stages.purge(spark, timedelta(hours=1))
+    gone = stages.purge(spark, timedelta(hours=1), datetime.now(UTC) + timedelta(hours=2))
+    assert mine.rsplit("/", 1)[1] in gone and not stages.exists(spark, mine) and stages.exists(spark, other)
+
+
 def test_listing_deals_folders(tmp_path):
     for i in range(300):
         (tmp_path / f"d{i}").mkdir()
