@@ -152,7 +152,10 @@ def candidates(queries: DataFrame, index: Index, chapters: DataFrame | None = No
     common words, are not read at all. Of the other terms' blocks, those of a page are skipped whose
     best scores, with all that the unread terms could add, stay below it, and so are single passages in the rest.
     """
-    weighed = saved(_weighed(queries, index), "search-terms")
+    return _candidates(saved(_weighed(queries, index), "search-terms"), index, chapters)
+
+
+def _candidates(weighed: DataFrame, index: Index, chapters: DataFrame | None) -> DataFrame:
     bitmaps = saved(chapter_bitmaps(index, chapters), "search-bitmaps") if chapters is not None else None
     keys = ["space", "term"]
     mine = weighed.select("query_id", "chapter_set", *keys, "idf", "avg_len")
@@ -173,9 +176,7 @@ def candidates(queries: DataFrame, index: Index, chapters: DataFrame | None = No
     found = hits.groupBy("query_id", "space", "page", "offset", "length", "avg_len").agg(F.sum("idf").alias("idf"))
     limits = rows.groupBy("query_id").agg(F.max("least").alias("least"), F.max("rest_idf").alias("rest_idf"))
     found = found.join(limits, "query_id").filter((F.col("idf") + F.col("rest_idf")) * _part(F.col("length")) >= F.col("least"))
-    ids = found.select("query_id", "space", (F.shiftleft("page", PAGE_BITS) + F.col("offset")).alias("no"))
-    weights = weighed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"), F.max("avg_len").alias("avg_len"))
-    return ids.join(weights, "query_id")
+    return found.select("query_id", "space", (F.shiftleft("page", PAGE_BITS) + F.col("offset")).alias("no"))
 
 
 def search(queries: DataFrame, index: Index, k: int = 4, chapters: DataFrame | None = None) -> DataFrame:
@@ -186,9 +187,11 @@ def search(queries: DataFrame, index: Index, k: int = 4, chapters: DataFrame | N
     distinct by chapter and content. chapters (chapter_set, chapter_id) names sets of chapters; a query sees
     those of its chapter_set, all if it has none; frequencies stay global. Query ids are distinct.
     """
-    wanted = saved(candidates(queries, index, chapters), "search-candidates")
+    weighed = saved(_weighed(queries, index), "search-terms")
+    weights = weighed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"), F.max("avg_len").alias("avg_len"))
+    wanted = saved(_candidates(weighed, index, chapters).select("query_id", "no"), "search-candidates")
     wanted = wanted.withColumn("shelf", F.shiftright("no", 33)).filter("no >= 0")
-    scores = index.passages.select("shelf", "no", "book_id", "chapter_id", "passage_id", "doc_len", "terms").join(wanted, ["shelf", "no"])
+    scores = index.passages.select("shelf", "no", "book_id", "chapter_id", "passage_id", "doc_len", "terms").join(wanted, ["shelf", "no"]).join(weights, "query_id")
     score = F.aggregate(F.filter("terms", lambda t: F.map_contains_key("weights", t)), F.lit(0.0), lambda a, t: a + F.element_at("weights", t)) * _part(F.col("doc_len"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "passage_id", "no")
     top = scores.withColumn("score", score).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= CANDIDATES)
