@@ -65,7 +65,8 @@ def report(marks: DataFrame, grouped: DataFrame, found: DataFrame, least: int) -
 
     found: rep_id, spans, other, links (ids of representatives that share a passage) and perhaps removed
     (spans of which a document of a smaller id keeps the like) of representatives. A copy of at least `least`
-    words is repeated whole. cluster_id is the smallest id that links connect, n_links their number.
+    words is repeated whole. cluster_id is the smallest id that links connect; n_links is the
+    number of a row's own links, which connect what shares a passage but are not all pairs that do.
     """
     links = found.select(F.col("rep_id").alias("a"), F.explode("links").alias("b"))
     roots = saved(components(links).withColumnRenamed("root", "joint"), "report-clusters")

@@ -72,7 +72,8 @@ def mix_plan(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words).
 
     Null text: size 0. Null source: a source of its own, last in order. Source of size 0: target 0 and
-    no copies. Repeated rows: each is counted and taken. Empty table: no rows. Other columns are ignored.
+    no copies. Repeated rows: each is counted and taken. Sources that would fill up at one level: in order of
+    the source. Texts are counted whole however long. Empty table: no rows. Other columns are ignored.
     """
     sizes = saved(sizes_of(docs), "mix-sizes")
     planned = _planned(sizes, saved(source_targets(sizes, **targets), "mix-targets"), seed, "__mix_")
@@ -83,7 +84,10 @@ def mix_plan(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
-    """The mixed documents themselves, with all their columns: each row as often as mix_plan says."""
+    """The mixed documents themselves, with all their columns: each row as often as mix_plan says, odd rows included.
+
+    Copies are whole texts, however long; an empty table gives no rows; no column of docs is taken for a helper.
+    """
     wanted = saved(source_targets(sizes_of(docs), **targets), "mix-targets")
     own = own_prefix(docs, "__mix_")
     planned = _planned(docs, wanted, seed, own).filter(F.col(f"{own}copies") > 0)

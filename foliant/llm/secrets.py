@@ -139,7 +139,8 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, base and spans (kind, start, end by start, then by rule) of every row of docs.
 
-    Null text: no spans. Equal rows get equal spans. Empty table: no rows. Other columns are ignored.
+    Null text: no spans. Equal rows get equal spans. Spans that begin together stand in order of the rules.
+    Texts are whole however long. Empty table: no rows. Other columns are ignored.
     """
     index = build_index(docs, rules)
     chosen = saved(candidates(index, rules).withColumnsRenamed({"key_a": "of_a", "key_b": "of_b"}), "secret-candidates")

@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links within the radius can reach, itself included.
 
     One row per row of docs. Null ids stand for nothing: such a row takes its group's smallest id, or
-    null if there is none. Texts without words share fingerprint 0. Empty table: no rows.
+    null if there is none. Texts without words share fingerprint 0. A bit set in exactly half the hashes is 0.
+    Texts are whole however long; repeated rows share a row's result; other columns are ignored. Empty table: no rows.
     """
     prints = saved(simhash(docs), "simhash")
     groups = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
@@ -220,7 +221,7 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One document of each group, that of its smallest id, with all its columns.
 
     Rows that repeat that id are one document: one of them stays. Rows without an id cannot be named and
-    are all kept.
+    are all kept. Very long texts are hashed whole and moved once; an empty table gives no rows.
     """
     own = own_prefix(docs, "__kept_") + "id"
     chosen = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).count()

@@ -153,7 +153,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     words or more that two documents share is in them; shorter ones of at least RIGHT words may be.
     copy_of is the smallest id of the same text (its own if there is none), whose spans it shares; a
     document without any repeated passage gives no row. Rows without an id take no part; null text is
-    empty; repeated rows count once; an empty table gives no rows; other columns are ignored.
+    empty; repeated rows count once; an empty table gives no rows; other columns are ignored. Suffixes that
+    are equal as far as they are shown stand in order of doc_id; very long texts are whole, and n_links counts the
+    documents beside which a suffix was sorted, not all that share the passage.
     """
     marks = saved(keyed(docs).mapInArrow(_mark, "doc_id long, t1 long, t2 long, n_words int, at array<int>, gram array<long>"), "suffix-marks")
     grouped = groups(marks)
