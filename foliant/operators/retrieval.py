@@ -192,7 +192,7 @@ def search(queries: DataFrame, index: Index, k: int = 4, chapters: DataFrame | N
     wanted = saved(_candidates(weighed, index, chapters).select("query_id", "no"), "search-candidates")
     wanted = wanted.withColumn("shelf", F.shiftright("no", 33)).filter("no >= 0")
     scores = index.passages.select("shelf", "no", "book_id", "chapter_id", "passage_id", "doc_len", "terms").join(wanted, ["shelf", "no"]).join(weights, "query_id")
-    score = F.aggregate(F.filter("terms", lambda t: F.map_contains_key("weights", t)), F.lit(0.0), lambda a, t: a + F.element_at("weights", t)) * _part(F.col("doc_len"))
+    score = F.aggregate(F.array_intersect("terms", F.map_keys("weights")), F.lit(0.0), lambda a, t: a + F.element_at("weights", t)) * _part(F.col("doc_len"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "passage_id", "no")
     top = scores.withColumn("score", score).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= CANDIDATES)
     top = saved(top.select("query_id", "shelf", "no", "score", "at"), "search-top").filter(F.col("at") <= CANDIDATES)
