@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import pandas_counter, register_counter, token_count
 from ..operators import retrieval as rt
 from ..sources import corpus
+from ..sources.listing import write_texts
 from ..stages import new_folder
 from .base import SPACE, query, table
 from .search_plans import TRACE, trace
@@ -14,16 +15,18 @@ from .search_plans import TRACE, trace
 BODY = "coalesce(text, '') || chr(10)"
 
 
-def _files(spark, d):
-    """One text file per document, below a folder named by its id; returns the folder."""
+def _files(spark, d, packed="false"):
+    """One text file per document, named by its id, compressed where packed holds; returns the folder."""
     folder = new_folder(spark, "texts")
-    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.write.partitionBy("doc_id").text(folder)
+    write_texts(table(spark, d, "documents").select(_KEY, F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.expr(packed), F.lit(False)).alias("packed")), folder)
     return folder
 
 
+_KEY = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key")
+
+
 def _doc_id():
-    return F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("path", r"doc_(\d+)[^/]*(?:/[^/]*)?$", 1).cast("long").alias("doc_id")
 
 
 @query("a1_read_txt_corpus", f"select doc_id, strlen({BODY}) as size_bytes from documents")
@@ -38,11 +41,7 @@ select doc_id, reason, n from (
 where reason is not null""")
 def a1_rejected(spark, d):
     """Texts above a limit, and those of one language that lie there compressed, are on record with the reason."""
-    folder = new_folder(spark, "mixed")
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("value"))
-    rows.filter("lang <> 'fr'").select("doc_id", "value").write.partitionBy("doc_id").text(folder)
-    rows.filter("lang = 'fr'").select("doc_id", "value").write.mode("append").option("compression", "gzip").partitionBy("doc_id").text(folder)
-    _, rejected = corpus.read_txt_corpus(spark, folder, max_bytes=4000)
+    _, rejected = corpus.read_txt_corpus(spark, _files(spark, d, "lang = 'fr'"), max_bytes=4000)
     return rejected.select(_doc_id(), "reason", F.when(F.col("reason") == "too_large", F.col("size_bytes")).alias("n"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,7 +16,9 @@ from ..stages import saved
 
 LISTED = "path string, modificationTime timestamp, length bigint"
 ENOUGH = 256  # folders that are looked into before the rest is dealt to tasks
-DEALT = 16  # folders of a task
+DEALT = 16  # folders of a task at least
+TASKS = 512  # tasks at most that list what lies at one depth
+FEW = 1000  # files that go to one folder when texts are written
 READ = 64 << 20  # bytes of contents that a task reads, about
 SENT = 16 << 20  # bytes of contents that leave a task at once
 
@@ -74,7 +78,8 @@ class FilesReader(DataSourceReader):
         while level and len(level) < ENOUGH:
             seen += level
             level = [x.path for folder in level for x in store.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.Directory]
-        return [Folders(x[i : i + DEALT], deep) for x, deep in ((seen, False), (level, True)) for i in range(0, len(x), DEALT)]
+        dealt = max(DEALT, -(-max(len(seen), len(level)) // TASKS))
+        return [Folders(x[i : i + dealt], deep) for x, deep in ((seen, False), (level, True)) for i in range(0, len(x), dealt)]
 
     def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -103,6 +108,38 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return saved(found, "listing")
 
 
+def _written(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top, _ = opened(path)
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for key, value, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "value", "packed"))):
+                folder = f"{top}/{task:06d}-{n // FEW}"
+                if n % FEW == 0:
+                    store.create_dir(folder)
+                data = value.encode() + b"\n"
+                with store.open_output_stream(f"{folder}/{key}-{n}.txt{'.gz' if packed else ''}", compression=None) as out:
+                    out.write(gzip.compress(data) if packed else data)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """One file below path for each row (key, value, packed): the value and a line feed, with gzip where packed.
+
+    A file's name begins with its key. Tasks write FEW files to a folder, so neither a commit nor a listing has
+    a folder for each text. Stores that only Spark's own writers know get a folder for each key.
+    """
+    if _known(path):
+        rows.select(F.col("key").cast("string").alias("key"), "value", "packed").mapInArrow(_written(path), "n long").agg(F.sum("n")).collect()
+        return
+    for packed in (False, True):
+        part = rows.filter(F.col("packed") == packed).select("key", "value").write.mode("append")
+        part.option("compression", "gzip" if packed else "none").partitionBy("key").text(path)
+
+
 def _contents(path: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _, before = opened(path)

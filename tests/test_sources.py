@@ -172,3 +172,20 @@ def test_stream_ingest_takes_new_files_once(spark, folder):
         pr.stream_ingest(spark, str(folder / "in" / "a.txt"), str(folder / "ck"), write).awaitTermination(120)
     assert [r.title for r in spark.read.parquet(str(out / "chapters")).collect()] == ["第一章 归来"]
     assert spark.read.parquet(str(out / "passages")).count() == 1
+
+
+def test_listing_of_very_many_folders_is_dealt_to_few_tasks(tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"b{i}").mkdir()
+    parts = listing.FilesReader(str(tmp_path)).partitions()
+    assert len(parts) <= listing.TASKS + 1 and sum(len(p.paths) for p in parts) == 20_001
+
+
+def test_texts_are_written_to_few_folders_and_all_found(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('doc_', id % 2999) as key", "if(id % 3 = 0, '', 'é' || id) as value", "id % 5 = 0 as packed")
+    listing.write_texts(rows.coalesce(2), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) <= 4
+    accepted, rejected = corpus.read_txt_corpus(spark, str(tmp_path / "out"))
+    assert rejected.groupBy("reason").count().collect() == [("wrong_suffix", 600)]
+    got = sorted(bytes(r.content).decode() for r in accepted.select("content").collect())
+    assert got == sorted(("" if i % 3 == 0 else f"é{i}") + "\n" for i in range(3000) if i % 5)
