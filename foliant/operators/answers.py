@@ -155,15 +155,21 @@ def _cited(fields: dict, *path: str) -> Column:
     return F.flatten(F.concat(*[F.transform(F.col(f"answer.{n}"), of) for n in lists]))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that the planner keeps as it is: filters and later columns read it and do not compute it again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _parsed(responses: DataFrame, kind: str, fields: dict, cited: dict[str, tuple], strict: bool) -> tuple[DataFrame, DataFrame]:
     rows = responses.select("unit_id", *[c for c in cited if c in responses.columns], F.try_parse_json(strip_code_fence(F.col("content"))).alias("v"))
     whole = F.when(F.col("v").isNull(), _wrong(F.lit(""), F.lit("invalid_json"))).when(
         _kind(F.col("v")).startswith("OBJECT"), _violations(F.col("v"), F.lit(""), fields, strict)).otherwise(_wrong(F.lit(""), F.lit("wrong_type")))
-    rows = rows.withColumn("wrong", whole).withColumn("answer", F.when(F.size("wrong") == 0, F.struct(*_typed(F.col("v"), fields))))
+    rows = _once(_once(rows, "wrong", whole), "answer", F.when(F.size("wrong") == 0, F.struct(*_typed(F.col("v"), fields)))).drop("v")
     for column, path in cited.items():
         if column in responses.columns:
             out = F.size(F.array_except(_cited(fields, *path), F.coalesce(F.col(column), F.array().cast("array<string>")))) > 0
-            rows = rows.withColumn("wrong", F.when((F.size("wrong") == 0) & out, _wrong(F.lit(path[-1]), F.lit("outside"))).otherwise(F.col("wrong")))
+            checked = F.when((F.size("wrong") == 0) & out, _wrong(F.lit(path[-1]), F.lit("outside"))).otherwise(F.col("wrong"))
+            rows = _once(rows, "checked", checked).drop("wrong").withColumnRenamed("checked", "wrong")
     good = rows.filter(F.size("wrong") == 0).select("unit_id", "answer.*")
     first = F.get("wrong", F.lit(0))
     place = F.when(first["at"] == "", F.lit("")).otherwise(F.concat(F.lit(" at "), F.regexp_replace(first["at"], r"\.$", "")))

@@ -86,3 +86,9 @@ def test_sources_and_shorthand(spark, parse, base):
 def test_summaries_cite_only_their_batch(spark):
     good, bad = run(spark, an.parse_summaries, [SUMMARY, changed(SUMMARY, ("key_events", 0, "chapter_ids"), ["c9"]), changed(SUMMARY, ("key_events", 0, "source_chunk_ids"), ["k9"])], allowed_chapters=["c1"], allowed_chunks=["k1"])
     assert set(good) == {0} and [(bad[i].code, bad[i].at) for i in (1, 2)] == [("outside", "chapter_ids"), ("outside", "source_chunk_ids")]
+
+
+def test_failures_compute_an_answer_once(spark):
+    rows = spark.createDataFrame([("a", "{}", ["c"])], "unit_id string, content string, allowed_ids array<string>")
+    plan = an.parse_merges(rows, strict=True)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3 and not any("variant" in line for line in plan.splitlines() if "Filter" in line)
