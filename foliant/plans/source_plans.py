@@ -18,13 +18,11 @@ BODY = "coalesce(text, '') || chr(10)"
 def _files(spark, d, packed="false"):
     """One text file per document, named by its id, compressed where packed holds; returns the folder."""
     folder = new_folder(spark, "texts")
-    write_texts(table(spark, d, "documents").select(_KEY, F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.expr(packed), F.lit(False)).alias("packed")), folder)
+    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key")
+    write_texts(table(spark, d, "documents").select(key, F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.expr(packed), F.lit(False)).alias("packed")), folder)
     return folder
 
 
-_KEY = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key")
-
-
 def _doc_id():
     return F.regexp_extract("path", r"doc_(\d+)[^/]*(?:/[^/]*)?$", 1).cast("long").alias("doc_id")
 

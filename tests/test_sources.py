@@ -1,6 +1,9 @@
 """Files in, tables out, streams."""
 
+import subprocess
+import sys
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +192,8 @@ def test_texts_are_written_to_few_folders_and_all_found(spark, tmp_path):
     assert rejected.groupBy("reason").count().collect() == [("wrong_suffix", 600)]
     got = sorted(bytes(r.content).decode() for r in accepted.select("content").collect())
     assert got == sorted(("" if i % 3 == 0 else f"é{i}") + "\n" for i in range(3000) if i % 5)
+
+
+def test_queries_are_named_before_a_session_starts():
+    code = "import __spark_entry__ as e; assert 'a1_read_txt_corpus' in e.queries() and 'g10_final_outline' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])
