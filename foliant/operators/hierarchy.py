@@ -50,7 +50,7 @@ def pack_merge_groups(rows: DataFrame, limit: int, overhead: int) -> tuple[DataF
     ok = rows.join(too_large, "book_id", "left_anti")
     groups = next_fit(ok, "book_id", "pos", "tokens", limit, first=overhead)
     sizes = groups.groupBy("book_id").agg(F.max("group").alias("n_groups"), F.count("*").alias("n"))
-    stuck = sizes.filter("n > 1 and n_groups = n").select("book_id", F.lit("merge_cannot_reduce").alias("code"))
+    stuck = sizes.filter("n_groups = n").select("book_id", F.lit("merge_cannot_reduce").alias("code"))
     return ok.join(groups, ["book_id", "pos"]).join(stuck, "book_id", "left_anti"), too_large.unionByName(stuck)
 
 

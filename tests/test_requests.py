@@ -96,3 +96,18 @@ def test_edits_drop_what_depends_on_them(spark):
 
 def test_html_is_escaped(spark):
     assert spark.range(1).select(t.html_escape(F.lit("<script>&'\""))).first()[0] == "&lt;script&gt;&amp;&#x27;&quot;"
+
+
+def test_books_that_no_merge_reduces_have_no_outline(spark, tmp_path):
+    from oracle import expected, rows
+
+    from foliant.plans import registry
+
+    turns = [(1, ["a " * 400, "b " * 400]), (2, ["c " * 620]), (3, ["x"]), (4, ["d " * 300, "e " * 350, "f " * 320])]
+    table = [(book, turn, "user", text) for book, texts in turns for turn, text in enumerate(texts)]
+    spark.createDataFrame(table, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    (tmp_path / "made").rename(tmp_path.with_name(tmp_path.name + "-rest"))
+    found = registry.queries()["g10_final_outline"](spark, str(tmp_path)).toPandas()
+    assert {r.book_id: r.n_batches for r in found.itertuples()} == {"3": 1, "4": 3}
+    assert rows(found) == rows(expected(registry.oracle_sql()["g10_final_outline"], str(tmp_path)))
