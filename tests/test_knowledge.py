@@ -105,6 +105,29 @@ def test_common_words_are_not_read(spark):
     assert rt.stored_index(chunks.repartition(5), f"{shared_folder(spark)}/common", None).passages.inputFiles() == index.passages.inputFiles()
 
 
+def test_passages_of_one_file_are_dealt_in_order_of_their_ids(spark):
+    """However few files the chunks come from, an index has many shelves; its numbers settle ties of scores."""
+    chunks = spark.createDataFrame([("b", f"c{i}", f"k{i}", 0, f"word t{i}", False) for i in range(400)], CHUNK).coalesce(1)
+    index = rt.stored_index(chunks, f"{shared_folder(spark)}/dealt", None)
+    rows = index.passages.select("no", "shelf", "passage_id").orderBy("no").collect()
+    assert [r.passage_id for r in rows] == sorted(r.passage_id for r in rows) and len(rows) == 400
+    shelves = [r.shelf for r in rows]
+    assert len(set(shelves)) == 4 and max(shelves.count(x) for x in set(shelves)) < 150
+
+
+def test_each_query_keeps_as_many_candidates_as_are_wanted(spark, monkeypatch):
+    """Where all passages match alike, those of least id stay; queries are dealt in groups, each block once for a group."""
+    monkeypatch.setattr(rt, "TOGETHER", 2)
+    monkeypatch.setattr(rt, "CANDIDATES", 20)
+    chunks = spark.createDataFrame([("b", f"c{i}", f"k{i}", 0, "one two", False) for i in range(300)], CHUNK)
+    index = rt.stored_index(chunks, f"{shared_folder(spark)}/alike", None)
+    queries = spark.createDataFrame([(i, "two three" if i < 4 else "three") for i in range(5)], "query_id int, query string")
+    ids = sorted(r.passage_id for r in index.passages.collect())
+    found = rt.candidates(queries, index).join(index.passages, ["no"]).collect()
+    assert all([r.passage_id for r in sorted(found, key=lambda r: r.at) if r.query_id == q] == ids[:20] for q in range(4))
+    assert len(found) == 80
+
+
 def test_evidence(spark):
     rows = passages(spark, "一句原文在这里")
     p = rows.first()
