@@ -13,6 +13,8 @@ from ..functions.text import is_terminal, phase
 from ..operators.retrieval import passages
 from ..operators.structure import chapters
 from ..sources.corpus import decode_text, judged, read_txt_corpus
+from ..sources.listing import LISTED, files, with_contents
+from ..stages import exists
 
 MANIFEST = "task_id string, status string, completed int, total int, updated_at timestamp"
 
@@ -80,14 +82,20 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
     """New text files through decoding, chapters and passages, once each; returns the started query.
 
     The batch function sees whole files, as headings need loops; write(df, name) appends a table. Files that
-    the checks of read_txt_corpus or all encodings reject go to the table rejected, with the reason.
+    the checks of read_txt_corpus or all encodings reject go to the table rejected, with the reason. The folder is
+    listed in tasks; what no earlier listing has goes to a log in the checkpoint's folder, and the stream reads that
+    log, so that no batch names its files one by one to be looked up again.
     """
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    log, found = f"{checkpoint}/listed", files(spark, path)
+    there = exists(spark, log)
+    fresh = found.join(spark.read.schema(LISTED).parquet(log).select("path"), "path", "left_anti").select(found.columns) if there else found
+    if not there or not fresh.isEmpty():
+        fresh.write.mode("append").parquet(log)
 
     def batch(rows: DataFrame, _: int) -> None:
         checked = judged(rows)
-        paths = checked.filter("reason is null").select(F.md5(F.col("path").cast("binary")).alias("book_id"), "content", "path")
+        good = checked.filter("reason is null").select(F.md5(F.col("path").cast("binary")).alias("book_id"), "path", "length")
+        paths = with_contents(good, path).drop("length")
         books, bad = decode_text(paths)
         write(checked.filter("reason is not null").select("path", "reason").union(bad.select("path", "reason")), "rejected")
         books = books.persist()
@@ -101,7 +109,8 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
         write(passages(whole), "passages")
         books.unpersist()
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    listed = spark.readStream.schema(LISTED).parquet(log)
+    return listed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 __all__ = ["MANIFEST", "read_txt_corpus", "run_available", "snapshots", "stream_changes", "stream_ingest", "stream_latest", "stream_progress", "stream_trace_totals"]

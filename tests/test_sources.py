@@ -177,6 +177,30 @@ def test_stream_ingest_takes_new_files_once(spark, folder):
     assert spark.read.parquet(str(out / "passages")).count() == 1
 
 
+def test_stream_ingest_looks_up_no_file_by_itself(spark, tmp_path):
+    """As few tasks for many files as for one; files that come later are taken in by the next run, old ones are not again."""
+    def write(df, name):
+        df.write.mode("append").parquet(str(tmp_path / "out" / name))
+
+    def run():
+        query = pr.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "ck"), write)
+        query.awaitTermination(120)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(query.runId)]
+        return max((x.numTasks for j in jobs for i in j.stageIds if (x := tracker.getStageInfo(i))), default=0)
+
+    (tmp_path / "in").mkdir()
+    for i in range(60):
+        (tmp_path / "in" / f"t{i}.txt").write_text(f"text {i}\n")
+    (tmp_path / "in" / "empty.txt").write_text("")
+    assert run() < 50
+    (tmp_path / "in" / "late.txt").write_text("late\n")
+    run()
+    paths = [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out" / "books")).collect()]
+    assert sorted(paths) == sorted([f"t{i}.txt" for i in range(60)] + ["late.txt"])
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == ["empty"]
+
+
 def test_listing_of_very_many_folders_is_dealt_to_few_tasks(tmp_path):
     for i in range(20_000):
         (tmp_path / f"b{i}").mkdir()
