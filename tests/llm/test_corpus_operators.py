@@ -235,6 +235,18 @@ def test_every_edited_passage_is_found(spark, monkeypatch, full):
     assert got == want and 100 < len(want) < 240
 
 
+def test_an_instance_that_many_bands_find_is_one_row(spark):
+    """By a common core and by halves as well: what joins roots has a row for each instance, not for each find."""
+    rng = np.random.default_rng(7)
+    base, other = (rng.integers(1, 1 << 32, paragraphs.WIDTH, dtype=np.uint32) for _ in range(2))
+    alike, edited = base.copy(), base.copy()
+    alike[80:] = other[80:]
+    edited[[30, 62]] = other[[30, 62]]
+    rows = [(5, i, bytearray(w.tobytes())) for i, w in enumerate([base, alike, edited, other])]
+    found = paragraphs._common(spark.createDataFrame(rows, "unit long, inst long, words binary")).collect()
+    assert sorted((r.inst, r.root) for r in found) == [(0, 0), (1, 0), (2, 0)]
+
+
 def test_common_line_makes_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FULL", 4)
     rng = random.Random(10)
