@@ -37,6 +37,34 @@ def stream_latest(progress: DataFrame) -> DataFrame:
 
 
 CHANGE = "event_id string, task_id string, phase string, terminal boolean, completed int, total int, updated_at timestamp"
+CHANGED = [field.split()[0] for field in CHANGE.split(", ")]
+
+
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What goes out of one task's snapshots of one batch; a task that has ended costs neither a sort nor a frame."""
+    last, ended = state.get if state.exists else (None, False)
+    if ended:
+        return  # nothing goes out after the end, and the state stays
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    events, times, terminal = rows["event_id"].tolist(), rows["updated_at"].astype("int64").tolist(), rows["terminal"].tolist()
+    order = sorted(range(len(events)), key=lambda i: (times[i], events[i]))
+    if not state.exists:
+        last = rows["last_seen"].iloc[0]
+        last = None if pd.isna(last) else last
+        met = [n for n, i in enumerate(order) if last is not None and events[i] == last]
+        order = order[met[-1] + 1 :] if met else order
+    out = []
+    for i in order:
+        if events[i] != last:
+            out.append(i)
+            last = events[i]
+        if terminal[i]:
+            ended = True
+            break
+    state.update((last, ended))
+    if out:
+        yield rows[CHANGED].take(out)
 
 
 def stream_changes(progress: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -49,23 +77,7 @@ def stream_changes(progress: DataFrame, seen: DataFrame | None = None) -> DataFr
     known = seen.select("task_id", F.col("last_seen").cast("string").alias("last_seen")) if seen is not None else None
     rows = progress.join(known, "task_id", "left") if known is not None else progress.withColumn("last_seen", F.lit(None).cast("string"))
 
-    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["updated_at", "event_id"], kind="stable")  # one task's snapshots of one batch
-        last, ended = state.get if state.exists else (rows["last_seen"].iloc[0], False)
-        if not state.exists and last is not None and (rows["event_id"] == last).any():
-            rows = rows.iloc[int((rows["event_id"] == last).to_numpy().nonzero()[0][-1]) + 1 :]
-        out = []
-        for at, (event, terminal) in enumerate(zip(rows["event_id"], rows["terminal"])):
-            if ended:
-                break
-            if event != last:
-                out.append(at)
-                last = event
-            ended = bool(terminal)
-        state.update((last, ended))
-        yield rows.iloc[out].drop(columns="last_seen")[[f.split()[0] for f in CHANGE.split(", ")]]
-
-    return rows.groupBy("task_id").applyInPandasWithState(changes, CHANGE, "last string, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("task_id").applyInPandasWithState(_changes, CHANGE, "last string, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(frame: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:

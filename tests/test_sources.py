@@ -5,6 +5,7 @@ import sys
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,24 @@ def test_stream_of_changes_resumes(spark, tmp_path):
     assert got == [[("a", 1, False), ("a", 2, False), ("b", 0, False), ("c", 2, False)], [("a", 3, True), ("b", 0, True), ("c", 3, False)], [("d", 0, False)]]
 
 
+def test_ended_tasks_give_no_frame():
+    """Neither a task that has ended nor one without a change costs an empty table."""
+    rows = pd.DataFrame({"event_id": ["y", "x"], "task_id": "t", "phase": "p", "terminal": [True, False], "completed": 1, "total": 2, "updated_at": pd.to_datetime(["2024-01-02", "2024-01-01"]), "last_seen": None})
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    assert [list(f["event_id"]) for f in pr._changes(("t",), iter([rows[1:], rows[:1]]), state)] == [["x", "y"]]
+    assert state.get == ("y", True)
+    assert list(pr._changes(("t",), iter([rows]), state)) == []
+    state.get = ("x", False)
+    assert list(pr._changes(("t",), iter([rows[1:]]), state)) == [] and state.get == ("x", False)
+
+
 def test_stream_ingest_takes_new_files_once(spark, folder):
     out = folder / "out"
 
