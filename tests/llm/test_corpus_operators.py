@@ -247,6 +247,33 @@ def test_an_instance_that_many_bands_find_is_one_row(spark):
     assert sorted((r.inst, r.root) for r in found) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_copies_with_edits_meet_by_blocks(spark, monkeypatch):
+    """What a unit's blocks share has a row for each block, not for each copy; links are those of one large comparison."""
+    rng = random.Random(11)
+    base, rows = [f"{'Ww'[k % 9 > 0]}{k}" for k in range(90)], []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(90), rng.randrange(1, 9)):
+            text[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join([f"a{i}", *text, f"b{i}"])))
+    held, saved = {}, paragraphs.saved
+
+    def kept(df, name, *partition):
+        held[name] = out = saved(df, name, *partition)
+        return out
+
+    def found(full):
+        monkeypatch.setattr(paragraphs, "FULL", full)
+        return {r.doc_id: r.cluster_id for r in paragraphs.similar_paragraphs(docs(spark, rows)).collect()}
+
+    want = found(512)
+    monkeypatch.setattr(paragraphs, "saved", kept)
+    assert found(64) == want and len(want) > 100
+    assert 0 < held["paragraph-core"].count() <= 2 * held["paragraph-firsts"].count() * (300 // 64 + 1)
+    per_key = held["paragraph-core"].groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert per_key <= 300 // 64 + 1
+
+
 def test_common_line_makes_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "FULL", 4)
     rng = random.Random(10)
