@@ -7,8 +7,10 @@ import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import expected
 from oracle import rows as sorted_rows
@@ -220,6 +222,36 @@ def test_slots_of_one_hash_stay_apart():
     assert out == {(1, (5,)): 2, (1, (6,)): 2, (1, (7,)): 1, (2, (5, 6)): 2, (2, (6, 7)): 1, (3, (5, 6, 7)): 1}
 
 
+def test_counts_travel_by_part():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 300, 20_000)  # 0 ends a piece
+    reached = [np.zeros(1, np.uint8)] * 3
+    blocks = pa.record_batch([pa.array([ids[:9_000].tobytes(), ids[9_000:].tobytes()], pa.binary())], names=["ids"])
+    rows = list(phrases._scan(0, SimpleNamespace(value=[t.tobytes() for t in reached]), 4)(iter([blocks])))
+    assert sum(map(len, rows)) <= 4 * 3  # a row for each part and length, not for each of over 40,000 phrases
+    out = Counter()
+    for batch in rows:
+        for length, start, words, n in phrases._unpacked(batch):
+            out.update(dict(zip(map(tuple, words.T.tolist()), n.tolist())))
+    want = Counter(p for k in (2, 3, 4) for p in zip(*(ids[i:].tolist() for i in range(k))) if 0 not in p)
+    assert out == want and len(want) > 40_000
+
+
+def test_equal_hashes_of_different_phrases():
+    words = np.array([[1, 2, 1, 2, 1], [3, 3, 3, 3, 4]])
+    order, first = phrases.grouped(np.array([7, 7, 7, 7, 2], np.uint64), words)
+    assert sorted(map(tuple, words[:, order[first]].T.tolist())) == [(1, 3), (1, 4), (2, 3)]
+    assert np.diff([*first, 5]).tolist() == [1, 2, 2]
+
+
+def test_collocations_in_many_parts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "C", "d.", "e", "f;", "g", "ü"]) for _ in range(60)), rng.choice(["en", "fr", None])) for i in range(200)]
+    for slots in (1 << 10, 2):
+        got = phrases.collocations(docs(spark, rows), least=10, top=60, slots=slots, share=100).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_collocations(rows, 10, 60, 80))
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(llm.SQL))
 def test_equals_sql(spark, name):
