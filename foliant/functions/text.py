@@ -31,7 +31,7 @@ def normalize_newlines(c: Column) -> Column:
 
 def is_readable(c: Column) -> Column:
     """Not blank, and at most max(5, length / 100) control characters other than tab and newline."""
-    controls = F.length(F.regexp_replace(c, r"[^\x00-\x08\x0B-\x1F]", ""))
+    controls = F.length(F.regexp_replace(c, r"[^\x00-\x08\x0B-\x1F]+", ""))
     return F.coalesce(c.rlike(rf"[^{SPACE}]") & (controls <= F.greatest(F.lit(5), F.floor(F.length(c) / 100))), F.lit(False))
 
 

@@ -74,26 +74,37 @@ def _plain_share(text: str) -> float:
     return sum(s == 0 or s == common for s in scripts) / len(text)
 
 
-def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files with text, encoding and character_count instead of content; files that no encoding fits, with reason).
+def decoded(files: DataFrame) -> DataFrame:
+    """files with text, encoding and character_count instead of content, all three null where no encoding fits.
 
-    UTF-8 is checked and decoded by built-in functions; only other files reach Python.
+    Each content is read once. UTF-8 is checked and decoded by built-in functions; only other files reach Python.
     """
     bom = F.substring(F.hex("content"), 1, 6) == "EFBBBF"
     body = F.when(bom, F.expr("substring(content, 4)")).otherwise(F.col("content"))
     direct = F.expr("is_valid_utf8(cast(content as string))") & ~F.substring(F.hex(F.expr("substring(content, 1, 2)")), 1, 4).isin("FFFE", "FEFF")
     text = normalize_newlines(body.cast("string"))
-    rows = files.withColumns({"__utf8": direct, "__text": F.when(direct, text)})
-    fast = rows.filter(F.col("__utf8") & is_readable(F.col("__text"))).withColumns({"text": F.col("__text"), "encoding": F.when(bom, "utf-8-sig").otherwise("utf-8")})
-    slow = rows.filter(~(F.col("__utf8") & F.coalesce(is_readable(F.col("__text")), F.lit(False))))
+    rows = files.withColumn("__text", F.when(direct, text)).withColumn("__direct", is_readable(F.col("__text")))
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
     def legacy(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_legacy(bytes(c)) for c in contents], columns=["text", "encoding"])
+        return pd.DataFrame([(None, None) if c is None else _legacy(bytes(c)) for c in contents], columns=["text", "encoding"])
+
+    rows = rows.withColumn("__d", legacy(F.when(~F.col("__direct"), F.col("content")))).withColumns({
+        "text": F.when(F.col("__direct"), F.col("__text")).otherwise(normalize_newlines(F.col("__d.text"))),
+        "encoding": F.when(F.col("__direct"), F.when(bom, "utf-8-sig").otherwise("utf-8")).otherwise(F.col("__d.encoding")),
+    })
+    return rows.drop("__text", "__direct", "__d", "content").withColumn("character_count", F.length("text").cast("bigint"))
+
 
-    slow = slow.withColumn("__d", legacy("content")).withColumns({"text": normalize_newlines(F.col("__d.text")), "encoding": F.col("__d.encoding")}).drop("__d")
-    good = fast.unionByName(slow.filter("text is not null")).drop("__utf8", "__text", "content")
-    return good.withColumn("character_count", F.length("text").cast("bigint")), slow.filter("text is null").drop("__utf8", "__text", "content", "text", "encoding").withColumn("reason", F.lit("undecodable"))
+def sorted_out(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with their text; files that no encoding fits, with reason)."""
+    bad = decoded.filter("text is null").drop("text", "encoding", "character_count")
+    return decoded.filter("text is not null"), bad.withColumn("reason", F.lit("undecodable"))
+
+
+def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with text, encoding and character_count instead of content; files that no encoding fits, with reason)."""
+    return sorted_out(decoded(files))
 
 
 class Conflict(RuntimeError):

@@ -155,13 +155,21 @@ def _contents(path: str, columns: list[str]):
     return run
 
 
-def with_contents(rows: DataFrame, path: str) -> DataFrame:
-    """rows of files below path with their content, read in as many tasks as their bytes ask for."""
-    spark = rows.sparkSession
+def reading_tasks(rows: DataFrame) -> int:
+    """As many tasks as the bytes of files (length) ask for."""
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    return int(max(rows.sparkSession.sparkContext.defaultParallelism, total // READ + 1))
+
+
+def with_contents(rows: DataFrame, path: str, tasks: int | None = None, key: str = "path") -> DataFrame:
+    """rows of files below path with their content, read in as many tasks as their bytes ask for.
+
+    Rows are dealt by key before anything is read, so what a task reads is a partition by that key.
+    """
+    spark, tasks = rows.sparkSession, tasks or reading_tasks(rows)
     if not _known(path):
         read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        return rows.join(read.select("path", "content"), "path").select(*rows.columns, "content")
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, total // READ + 1)
+        found = rows.join(read.select("path", "content"), "path").select(*rows.columns, "content")
+        return found if key == "path" else found.repartition(tasks, key)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition(int(tasks), "path").mapInArrow(_contents(path, rows.columns), f"{kind}, content binary")
+    return rows.repartition(tasks, key).mapInArrow(_contents(path, rows.columns), f"{kind}, content binary")

@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import is_terminal, phase
 from ..operators.retrieval import passages
 from ..operators.structure import chapters
-from ..sources.corpus import decode_text, judged, read_txt_corpus
-from ..sources.listing import LISTED, files, with_contents
-from ..stages import exists
+from ..sources.corpus import decoded, judged, read_txt_corpus, sorted_out
+from ..sources.listing import LISTED, files, reading_tasks, with_contents
+from ..stages import bucketed, exists, saved, spent
 
 MANIFEST = "task_id string, status string, completed int, total int, updated_at timestamp"
 
@@ -96,7 +96,8 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
     The batch function sees whole files, as headings need loops; write(df, name) appends a table. Files that
     the checks of read_txt_corpus or all encodings reject go to the table rejected, with the reason. The folder is
     listed in tasks; what no earlier listing has goes to a log in the checkpoint's folder, and the stream reads that
-    log, so that no batch names its files one by one to be looked up again.
+    log, so that no batch names its files one by one to be looked up again. A batch's texts lie in buckets by book
+    until it ends, so no text is shuffled, however often chapters and passages are cut from it.
     """
     log, found = f"{checkpoint}/listed", files(spark, path)
     there = exists(spark, log)
@@ -107,11 +108,17 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
     def batch(rows: DataFrame, _: int) -> None:
         checked = judged(rows)
         good = checked.filter("reason is null").select(F.md5(F.col("path").cast("binary")).alias("book_id"), "path", "length")
-        paths = with_contents(good, path).drop("length")
-        books, bad = decode_text(paths)
+        tasks = reading_tasks(good)
+        texts = bucketed(decoded(with_contents(good, path, tasks, "book_id").drop("length")), "ingest-texts", "book_id", tasks)
+        try:
+            taken(checked, texts)
+        finally:
+            spent(texts)
+
+    def taken(checked: DataFrame, texts: DataFrame) -> None:
+        books, bad = sorted_out(texts)
         write(checked.filter("reason is not null").select("path", "reason").union(bad.select("path", "reason")), "rejected")
-        books = books.persist()
-        found = chapters(books)
+        found = saved(chapters(books), "ingest-chapters")
         whole = found.join(books.select("book_id", "text"), "book_id").select(
             "book_id", "chapter_id", F.col("chapter_id").alias("chunk_id"), "ordinal",
             F.substring("text", (F.col("content_start") + 1).cast("int"), F.col("character_count").cast("int")).alias("content"), F.lit(False).alias("is_edited"),
@@ -119,7 +126,7 @@ def stream_ingest(spark: SparkSession, path: str, checkpoint: str, write: Callab
         write(books, "books")
         write(found, "chapters")
         write(passages(whole), "passages")
-        books.unpersist()
+        spent(found)
 
     listed = spark.readStream.schema(LISTED).parquet(log)
     return listed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """Files in, tables out, streams."""
 
+import hashlib
 import subprocess
 import sys
 from datetime import UTC, datetime, timedelta
@@ -220,6 +221,40 @@ def test_stream_ingest_looks_up_no_file_by_itself(spark, tmp_path):
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == ["empty"]
 
 
+def test_stream_ingest_shuffles_no_text(spark, tmp_path):
+    """What goes through shuffles is small beside the texts, and no texts stay behind but those of the tables."""
+    def write(df, name):
+        df.write.mode("append").parquet(str(tmp_path / "out" / name))
+
+    (tmp_path / "in").mkdir()
+    size = 0
+    for i in range(60):
+        body = [" ".join(hashlib.sha512(f"{i} {c} {n}".encode()).hexdigest() for n in range(150)) for c in range(3)]
+        text = f"before\nChapter 1 a\n{body[0]}\nChapter 2 b\n{body[1]}\nChapter 9 odd\n{body[2]}\nChapter 3 c\nend\n" if i % 3 else "\n".join(body)
+        data = text.encode("utf-16") if i % 5 == 1 else text.encode()
+        size += (tmp_path / "in" / f"t{i}.txt").write_bytes(data)
+    (tmp_path / "in" / "bad.txt").write_bytes(bytes(range(1, 32)) * 5)
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    before = {*local.glob("blockmgr-*/*/shuffle_*.data")}
+    pr.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "ck"), write).awaitTermination(240)
+    assert sum(x.stat().st_size for x in {*local.glob("blockmgr-*/*/shuffle_*.data")} - before) < size / 10
+    assert not list((local / "checkpoints").glob("ingest-*")) and not [t.name for t in spark.catalog.listTables() if "ingest" in t.name]
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    books = {r.book_id: r for r in read("books").collect()}
+    assert len(books) == 60 and {r.reason for r in read("rejected").collect()} == {"undecodable"}
+    assert {r.encoding for r in books.values()} == {"utf-8", "utf-16"}
+    for book, name in ((b, r.path.rsplit("/", 1)[1]) for b, r in books.items()):
+        i = int(name[1:-4])
+        assert books[book].text == (tmp_path / "in" / name).read_bytes().decode("utf-16" if i % 5 == 1 else "utf-8")
+    whole = {(r.book_id, r.chapter_id): r for r in read("chapters").collect()}
+    assert sorted({r.title for r in whole.values()}) == ["Chapter 1 a", "Chapter 2 b", "Chapter 3 c", "全文", "卷首"]
+    cut = read("passages").collect()
+    assert len(cut) == sum(-(-r.character_count // 1000) for r in whole.values())
+    for r in cut:
+        start = whole[r.book_id, r.chapter_id].content_start + r.offset
+        assert r.content == books[r.book_id].text[start : min(start + 1200, whole[r.book_id, r.chapter_id].content_end)]
+
+
 def test_listing_of_very_many_folders_is_dealt_to_few_tasks(tmp_path):
     for i in range(20_000):
         (tmp_path / f"b{i}").mkdir()
