@@ -15,11 +15,16 @@ from .search_plans import TRACE, trace
 BODY = "coalesce(text, '') || chr(10)"
 
 
+def _texts(spark, d, packed="false"):
+    """What write_texts takes: a row for each document, named by its id, compressed where packed holds."""
+    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key")
+    return table(spark, d, "documents").select(key, F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.expr(packed), F.lit(False)).alias("packed"))
+
+
 def _files(spark, d, packed="false"):
-    """One text file per document, named by its id, compressed where packed holds; returns the folder."""
+    """One text file per document; returns the folder."""
     folder = new_folder(spark, "texts")
-    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key")
-    write_texts(table(spark, d, "documents").select(key, F.coalesce("text", F.lit("")).alias("value"), F.coalesce(F.expr(packed), F.lit(False)).alias("packed")), folder)
+    write_texts(_texts(spark, d, packed), folder)
     return folder
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.listing import remove_texts, write_texts
 from ..stages import new_folder
 from ..streaming import progress as pr
 from .base import SPACE, query, table
 from .knowledge_plans import PHASES, _manifests
 from .search_plans import TRACE, trace
-from .source_plans import BODY, _doc_id, _files
+from .source_plans import BODY, _doc_id, _texts
+
+LOT, LOTS = 512 << 20, 8  # bytes of texts that lie there as files at once, at least; lots at most, as each reads the table
 
 
 def _streamed(spark, rows, time, run, mode="append"):
@@ -66,11 +69,19 @@ select doc_id, count(*) as n_passages, sum(least(1200, n - o))::bigint as n_char
   select doc_id, length(x) as n, unnest(range(0, length(x), 1000)) as o from (select doc_id, regexp_replace({BODY}, '\r\n?', chr(10), 'g') as x from documents)
   where regexp_matches(x, '[^{SPACE}]') and length(regexp_replace(x, '[^\x00-\x08\x0B-\x1F]', '', 'g')) <= greatest(5, length(x) // 100)) group by doc_id""")
 def k4(spark, d):
-    """All documents as files, taken in by the stream; a second run finds nothing new."""
-    folder, out, checkpoint = _files(spark, d), new_folder(spark, "ingested"), new_folder(spark, "ingest-checkpoint")
+    """All documents as files, taken in by the stream; a second run finds nothing new.
+
+    Small files fill whole blocks of a disk, so many documents come in lots; a lot goes when both runs are over.
+    """
+    folder, out, checkpoint = (new_folder(spark, n) for n in ("texts", "ingested", "ingest-checkpoint"))
+    rows = _texts(spark, d)
+    lots = min(LOTS, (rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0) // LOT + 1)
     write = lambda df, name: df.write.mode("append").option("compression", "zstd").parquet(f"{out}/{name}")
-    for _ in range(2):
-        pr.stream_ingest(spark, folder, checkpoint, write).awaitTermination()
+    for lot in range(lots):
+        write_texts(rows.filter(F.pmod(F.xxhash64("key"), F.lit(lots)) == lot), f"{folder}/{lot}")
+        for _ in range(2):
+            pr.stream_ingest(spark, folder, checkpoint, write).awaitTermination()
+        remove_texts(spark, f"{folder}/{lot}")
     books = spark.read.parquet(f"{out}/books").select("book_id", _doc_id())
     found = spark.read.parquet(f"{out}/passages").select("book_id", F.length("content").alias("n")).join(books, "book_id").groupBy("doc_id")
     return found.agg(F.count("*").alias("n_passages"), F.sum("n").cast("long").alias("n_chars"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..stages import saved
+from ..stages import hadoop_path, saved
 
 LISTED = "path string, modificationTime timestamp, length bigint"
 ENOUGH = 256  # folders that are looked into before the rest is dealt to tasks
@@ -140,6 +140,33 @@ def write_texts(rows: DataFrame, path: str) -> None:
         part.option("compression", "gzip" if packed else "none").partitionBy("key").text(path)
 
 
+def _removed(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _, _ = opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                if store.get_file_info(folder).type == fs.FileType.Directory:  # else an earlier try of the task was here
+                    store.delete_dir(folder)
+            yield batch
+
+    return run
+
+
+def remove_texts(spark: SparkSession, path: str) -> None:
+    """Delete a folder that write_texts made, what lies in it in tasks."""
+    from pyarrow import fs
+
+    if _known(path):
+        store, top, _ = opened(path)
+        folders = [(x.path,) for x in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if x.type == fs.FileType.Directory]
+        if folders:
+            spark.createDataFrame(folders, "folder string").repartition(min(len(folders), TASKS)).mapInArrow(_removed(path), "folder string").count()
+    store, where = hadoop_path(spark, path)
+    store.delete(where, True)
+
+
 def _contents(path: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _, before = opened(path)

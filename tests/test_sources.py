@@ -238,7 +238,7 @@ def test_stream_ingest_shuffles_no_text(spark, tmp_path):
     before = {*local.glob("blockmgr-*/*/shuffle_*.data")}
     pr.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "ck"), write).awaitTermination(240)
     assert sum(x.stat().st_size for x in {*local.glob("blockmgr-*/*/shuffle_*.data")} - before) < size / 10
-    assert not list((local / "checkpoints").glob("ingest-*")) and not [t.name for t in spark.catalog.listTables() if "ingest" in t.name]
+    assert not list((local / "checkpoints").glob("ingest-texts-*")) and not list((local / "checkpoints").glob("ingest-chapters-*")) and not [t.name for t in spark.catalog.listTables() if "ingest" in t.name]
     read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
     books = {r.book_id: r for r in read("books").collect()}
     assert len(books) == 60 and {r.reason for r in read("rejected").collect()} == {"undecodable"}
@@ -272,6 +272,14 @@ def test_texts_are_written_to_few_folders_and_all_found(spark, tmp_path):
     assert got == sorted(("" if i % 3 == 0 else f"é{i}") + "\n" for i in range(3000) if i % 5)
 
 
+def test_written_texts_go_whole(spark, tmp_path):
+    listing.write_texts(spark.range(2500).selectExpr("concat('doc_', id) as key", "'x' as value", "false as packed"), str(tmp_path / "out"))
+    (tmp_path / "other.txt").write_text("stays")
+    for _ in range(2):
+        listing.remove_texts(spark, str(tmp_path / "out"))
+    assert [x.name for x in tmp_path.iterdir()] == ["other.txt"]
+
+
 def test_queries_are_named_before_a_session_starts():
     code = "import __spark_entry__ as e; assert 'a1_read_txt_corpus' in e.queries() and 'g10_final_outline' in e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])
